@@ -1 +1,4 @@
-"""Part of lodegraph."""
+"""All registered queries of the engine's own operators."""
+
+from . import evaluation, graph, relational  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
