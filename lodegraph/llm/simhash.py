@@ -14,30 +14,40 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 #: Fingerprints of one tile; a larger population class is cut into several tiles.
 TILE = 4096
+#: Documents that name the common shingles: one in SAMPLE_STEP, all if there are few. A shingle of COMMON of them is common.
+SAMPLE_STEP, SAMPLE_ROWS, COMMON, MOST_COMMON = 64, 4000, 3, 1 << 18
+#: Rows of documents in question that may be broadcast to the second scan; beyond it that join shuffles.
+BROADCAST_ROWS = 200_000
 
 
-def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if it is set in over half the XXH64 hashes (seed 42) of the n-word shingles, repeats included."""
+def _shingle_hashes(text: str | None, n: int):
+    """The XXH64 hashes (seed 42) of the n-word shingles in order, in arrays of at most 65,536. Fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
     # On bytes, lower() changes A-Z alone and split() cuts at 0x20 and 0x09-0x0D alone.
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
-    if len(words) <= n:
-        return xxh64_intdigest(joined, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -n] + 1)).tolist()
-    counts, total = np.zeros(64, np.int64), len(starts)
-    stops = ends[n - 1 :].tolist()
-    for at in range(0, total, 1 << 16):
-        hashes = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
+    starts = np.concatenate(([0], ends[:-n] + 1)).tolist() if len(words) > n else [0]
+    stops = ends[n - 1 :].tolist() if len(words) > n else [len(joined)]
+    for at in range(0, len(starts), 1 << 16):
+        yield np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)], "<u8")
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    counts, total = np.zeros(64, np.int64), sum(map(len, parts))
+    for hashes in parts:
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > total))
 
 
+def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
+    """A bit is 1 if it is set in over half the XXH64 hashes (seed 42) of the n-word shingles, repeats included."""
+    return _majority(list(_shingle_hashes(text, n)))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "simhash", n: int = SHINGLE_WORDS) -> DataFrame:
     """docs with the 64-bit fingerprint of the whole text as a long. Null or blank text: 0. A column ``out`` is replaced."""
 
@@ -139,16 +149,104 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return rows.repartition("v", "cut").sortWithinPartitions("v", "cut", "guest").mapInArrow(run, "a long, b long")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS) -> DataFrame:
+def _shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted, as signed longs."""
+    parts = list(_shingle_hashes(text, n))
+    return np.unique(np.concatenate(parts).view(np.int64)) if parts else np.zeros(0, np.int64)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
+
+
+def _with_sets(docs: DataFrame, n: int) -> DataFrame:
+    def make():
+        return lambda batch: [_lists([_shingle_set(x, n) for x in texts_of(batch, "text")])]
+
+    return append_columns(docs, [T.StructField("set", T.ArrayType(T.LongType()))], make)
+
+
+def _common(base: DataFrame, n: int) -> np.ndarray:
+    """Hashes of common shingles, sorted, found in a sample whose share is fixed; at most MOST_COMMON. Any choice gives the same pairs."""
+    step = max(1, min(SAMPLE_STEP, base.count() // SAMPLE_ROWS))
+    sample = base.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
+    counts = _with_sets(sample, n).select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy()
+    return np.sort(top)
+
+
+def _with_prefix(base: DataFrame, n: int, least: float) -> DataFrame:
+    """base with simhash, set_key, size and prefix: of the distinct shingles in one order (common ones last, then by hash) as
+    many first ones as two sets with a Jaccard similarity of ``least`` or more must have one of in common."""
+    shared = base.sparkSession.sparkContext.broadcast(_common(base, n))
+
+    def make():
+        from xxhash import xxh64_intdigest
+
+        common = shared.value
+
+        def step(batch):
+            prints, keys, sizes, prefixes = [], [], [], []
+            for text in texts_of(batch, "text"):
+                parts = list(_shingle_hashes(text, n))
+                prints.append(_majority(parts) if parts else 0)
+                own = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.zeros(0, np.int64)
+                keys.append(xxh64_intdigest(own.tobytes(), 42))
+                sizes.append(len(own))
+                length = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
+                if len(common) and len(own):
+                    known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
+                    own = np.concatenate((own[~known], own[known]))
+                prefixes.append(own[:length])
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+            return [signed(prints), signed(keys), pa.array(sizes, pa.int32()), _lists(prefixes)]
+
+        return step
+
+    fields = [T.StructField("simhash", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    return append_columns(base, fields, make)
+
+
+def _similar_links(base: DataFrame, prints: DataFrame, n: int, least: float) -> DataFrame:
+    """(a, b): fingerprints of all pairs of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    Every such pair shares a shingle of both prefixes; those pairs are candidates and the whole sets decide. Equal sets
+    count once. base: row, text; prints: row, simhash, set_key, size, prefix.
+    """
+    classes = prints.where("size > 0").groupBy("set_key").agg(F.min("simhash").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
+    tokens = classes.select(F.explode("prefix").alias("token"), "set_key", "fp", "size")
+    left, right = (tokens.select("token", F.col("set_key").alias(f"{x}k"), F.col("fp").alias(f"{x}f"), F.col("size").alias(f"{x}s")) for x in "xy")
+    near = (F.col("xf") < F.col("yf")) & (F.least("xs", "ys") >= F.greatest("xs", "ys") * least - 1e-9)
+    pairs = materialize(left.join(right.hint("merge"), "token").where(near).select("xk", "yk", "xf", "yf").distinct())
+    asked = pairs.select(F.col("xk").alias("set_key")).unionAll(pairs.select("yk")).distinct()
+    places = materialize(asked.join(prints.select("set_key", "row"), "set_key").groupBy("set_key").agg(F.min("row").alias("row")))
+    rows = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+    sets = materialize(_with_sets(base.join(rows, "row").dropDuplicates(["row"]).select("set_key", "text"), n).select("set_key", "set"))
+    both = pairs.join(sets.select(F.col("set_key").alias("xk"), F.col("set").alias("x")), "xk").join(sets.select(F.col("set_key").alias("yk"), F.col("set").alias("y")), "yk")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select(F.col("xf").alias("a"), F.col("yf").alias("b"))
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:
     """(doc_id, simhash, component_id): each row's component is the smallest doc_id its fingerprint's links reach.
 
     Copies share a fingerprint and count once in the comparison, so a group of copies costs its rows and no pairs.
     Null or blank texts have fingerprint 0 and link like any other. Null ids are returned, but name no component unless all
     ids of it are null. Repeated rows come back repeated. An empty table gives none. Other columns aren't returned.
+    With ``least``, texts whose sets of shingles have a Jaccard similarity of that or more are linked too, all of them.
     """
-    prints = materialize(with_fingerprint(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), n=n).select("doc_id", "simhash"))
+    base = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    if least is None:
+        prints = materialize(with_fingerprint(base, n=n).select("doc_id", "simhash"))
+    else:
+        base = base.withColumn("row", F.xxhash64("doc_id", "text"))
+        prints = materialize(_with_prefix(base, n, least).drop("text"))
     classes = materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first_id")))
-    links = connected_components(fingerprint_links(classes.select("fp"), radius))
+    links = fingerprint_links(classes.select("fp"), radius)
+    if least is not None:
+        links = links.unionAll(_similar_links(base.select("row", "text"), prints, n, least))
+    links = connected_components(links)
     rooted = classes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("simhash"), "component_id")
@@ -156,12 +254,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     return prints.join(named, "simhash").select("doc_id", "simhash", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id, of equal ids any one text.
 
     Rows whose id is null are kept: nothing tells them apart.
     """
-    kept = components(docs, doc_id, text, radius, n).where("doc_id = component_id").select("doc_id").distinct()
+    kept = components(docs, doc_id, text, radius, n, least).where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept.withColumnRenamed("doc_id", "__kept"), col(doc_id) == F.col("__kept"), "left_semi")
     doubled = first.groupBy(col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
     single = first.join(doubled, col(doc_id) == F.col("__id"), "left_anti")

@@ -235,6 +235,32 @@ def test_components_with_odd_rows(spark):
     assert simhash.components(docs_frame(spark, [])).count() == 0
 
 
+def test_near_documents_are_those_of_all_pairs_by_shingle_similarity(spark):
+    rng = random.Random(9)
+    texts = [None, "", "one two", "one two"]
+    for i in range(40):
+        ws = words(i % 8, rng.choice([6, 40, 300])).split()
+        for _ in range(rng.randrange(1 + len(ws) // 20)):
+            ws[rng.randrange(len(ws))] = f"other{rng.randrange(99)}"
+        texts.append("the same head for all of these texts " * (i % 3) + " ".join(ws))
+    sets = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for ws in ((t or "").split() for t in texts)]
+    label = list(range(len(texts)))
+    missed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = plain_fingerprint(texts[i], 5), plain_fingerprint(texts[j], 5)
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+            missed += alike and (a ^ b).bit_count() > 2
+            if alike or (a ^ b).bit_count() <= 2:
+                x, y = label[i], label[j]
+                label = [min(x, y) if k in (x, y) else k for k in label]
+    assert missed > 5
+    got = simhash.components(docs_frame(spark, texts), n=5, least=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+    kept = simhash.drop_near_duplicates(docs_frame(spark, texts), n=5, least=0.8).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
+
+
 # 5. Revisits.
 
 
