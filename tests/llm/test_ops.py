@@ -179,6 +179,15 @@ def test_line_groups_are_those_of_all_pairs(spark):
     assert removed == {i for i in range(len(lines)) if find(i) != i}
 
 
+def test_short_lines_numbers_and_unspaced_scripts_go_by_exact_text(spark):
+    chinese, tail = "今天天气很好我们一起去公园散步吧" * 4, words(3, 123)
+    texts = [f"Les.\n12 34\n{chinese}\n---\n\n{tail}", f"LES!\n12 34\n12 35\n{chinese}\n---\n\n***\n{tail}\nend"]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs_frame(spark, texts), short=True).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
+    assert got[1]["text"] == "12 35\n\n***\nend" and got[1]["n_removed"] == 5
+    assert {r["doc_id"] for r in linededup.dedup_stage(docs_frame(spark, ["Les.", "les", None, ""])).collect()} == {0, 2, 3}
+
+
 # 4. SimHash.
 
 
