@@ -163,12 +163,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> ByteCNN | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, unclear: bool = False) -> ByteCNN | None:
     """The network, trained on at most ``per_language`` windows of each language from labelled documents that aren't held out.
 
     A document gives one piece from a place that a hash of its id sets anywhere in the text; of these, those with the smallest
     hashes are taken. That bound keeps the driver's share constant; everything is predicted from whole texts.
-    Repeated rows count again. None if there is no labelled text.
+    Repeated rows count again. None if there is no labelled text. With ``unclear``, the network also learns "und" from letter
+    junk made of the sample.
     """
     labelled = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), col(lang).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
@@ -196,9 +197,32 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     counts = np.bincount(labels, minlength=len(names))
     rows_of = [np.flatnonzero(labels == i) for i in range(len(names))]
     balanced = np.concatenate([np.resize(r, counts.max()) for r in rows_of])
+    if unclear:
+        junk = _junk(rows["piece"], counts.max())
+        names = [*names, UNKNOWN]
+        data, labels = np.concatenate((data[balanced], junk)), np.concatenate((labels[balanced], np.full(len(junk), len(names) - 1)))
+        return ByteCNN(names).train(data, labels)
     return ByteCNN(names).train(data[balanced], labels[balanced])
 
 
+def _junk(pieces: list[str], n: int) -> np.ndarray:
+    """``n`` windows of letters in no language: pieces with their characters shuffled, random Latin letters, and letters of other
+    scripts drawn at random, of lengths from a fixed seed."""
+    rng = np.random.default_rng(5)
+    scripts = [(0x41, 0x5A), (0x61, 0x7A), (0x61, 0x7A), (0xC0, 0x24F), (0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+    out = np.zeros((n, WINDOW), np.uint8)
+    for i in range(n):
+        if i % 3 == 0:
+            chars = list(pieces[int(rng.integers(len(pieces)))])
+            rng.shuffle(chars)
+        else:
+            low, high = scripts[int(rng.integers(1, 3))] if i % 3 == 1 else scripts[int(rng.integers(len(scripts)))]
+            chars = [" " if rng.random() < 0.15 else chr(int(c)) for c in rng.integers(low, high + 1, WINDOW)]
+        raw = np.frombuffer("".join(chars).encode()[: WINDOW if rng.random() < 0.67 else int(rng.integers(12, WINDOW))], np.uint8)
+        out[i, : len(raw)] = raw
+    return out
+
+
 def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score. Null text, text without letters, or no model: "und" with score 0. Columns so named are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -221,6 +245,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return predict(docs, fit(docs, doc_id, text, lang), text).withColumn("held_out", held_out(col(doc_id)))
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.2, **columns) -> DataFrame:
-    """docs whose language is found with a score of ``min_score`` or more; what has no letters, or no clear language, goes."""
-    return identify(docs, **columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*[col(c) for c in docs.columns])
+def keep_known(docs: DataFrame, min_score: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs whose language is found; what has no letters, or no clear language, goes.
+
+    The network knows letter junk as a class of its own, and what it takes for that goes. A score must also be ``min_score``
+    of the way from chance (one over the number of classes) to 1, so that it can be missed whatever the number of languages.
+    """
+    model = fit(docs, doc_id, text, lang, unclear=True)
+    chance = 1 / len(model.languages) if model else 0.0
+    clear = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= chance + min_score * (1 - chance))
+    return predict(docs, model, text).where(clear).select(*[col(c) for c in docs.columns])

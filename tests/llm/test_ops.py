@@ -474,3 +474,14 @@ def test_pipeline_keeps_columns_and_takes_effect(spark):
 
 def test_digests_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_letter_junk_goes_and_clean_held_out_documents_stay(spark):
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz    ") for _ in range(300)) for _ in range(20)]
+    table = docs.unionAll(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], docs.schema))
+    kept = {r[0] for r in langid.keep_known(table).select("doc_id").collect()}
+    clean = [r[0] for r in docs.where(langid.held_out(F.col("doc_id"))).where(F.length(F.trim("text")) >= 200).select("doc_id").collect()]
+    assert not {-1 - i for i in range(20)} & kept
+    assert sum(i in kept for i in clean) >= 0.99 * len(clean) > 0
