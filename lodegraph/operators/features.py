@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeometric_z, inverse_power
-from .ontology import written
+from .store import written
 
 GATE = 20
 

@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df from a Parquet copy in the cluster's shared folder: cuts the lineage of a loop, and no executor's loss undoes it."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .store import connected_components, written
 
 
-def components(edges: DataFrame, x: str = "x_index", y: str = "y_index", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges.
-
-    Each round a node takes the least label of its neighbours, then the label of its label, which halves long chains.
-    """
-    both = edges.select(F.col(x).alias("u"), F.col(y).alias("v"))
-    both = written(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        lower = labels.join(near, labels["node"] == near["u"]).select("node", F.least("component", "m").alias("component"), F.col("component").alias("old"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = written(lower.join(jump, "component").select("node", F.least("component", "further").alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where("component <> old").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+def components(edges: DataFrame, x: str = "x_index", y: str = "y_index") -> DataFrame:
+    """(node, component): the smallest node reachable over undirected edges (G1, G2). A node of self-loops alone is its own."""
+    found = connected_components(edges, x, y)
+    nodes = edges.select(F.col(x).alias("node")).unionAll(edges.select(F.col(y))).where("node is not null").distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def largest_component(edges: DataFrame, x: str = "x_index", y: str = "y_index") -> DataFrame:

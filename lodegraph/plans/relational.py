@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, stats
 from ..operators import aggregates as agg
 from ..operators import evaluate, joins, ontology, ranking, sets
+from ..operators.store import scratch_path
 from ..sources import readers
 from .registry import query
 
@@ -121,16 +122,7 @@ def _(r):
 
 def _scratch(r, kind: str) -> str:
     """A fresh path in the folder that all executors share."""
-    import uuid
-
-    from ..operators.ontology import written  # noqa: F401
-
-    sc = r.spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(r.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-"))
-    return f"{sc.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    return scratch_path(r.spark, kind)
 
 
 # Projection and predicates.
