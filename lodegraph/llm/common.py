@@ -1,9 +1,7 @@
-"""What the operators of this package share: Arrow passes, written intermediates, connected components."""
+"""What the operators of this package share: Arrow passes; written intermediates and components come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -11,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.store import connected_components, release, shared_dir  # noqa: F401
+from ..operators.store import written as materialize  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,22 +22,6 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one is made only where the cluster names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodegraph-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write Parquet to the shared folder and read it back. A lost executor costs nothing then."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, rows: int = 256) -> DataFrame:
     """df with columns that ``make()(record_batch)`` computes, in one Arrow pass without a shuffle.
 
@@ -59,39 +44,3 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, r
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge, root being the smallest node reachable.
-
-    Alternating large-star and small-star steps; each is two aggregates by key (combined before the shuffle) and a join
-    that adaptive execution can split, so a hub costs no more than its edges. Rounds grow with the logarithm of the
-    longest chain. Every round is written to the shared folder. No edge set is ever collected.
-    """
-
-    def oriented(x, y):
-        return [F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")]
-
-    def state(df):
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
-
-    e = edges.select(*oriented(col(a), col(b))).where("hi <> lo").distinct()
-    e = materialize(e)
-    before = state(e)
-    if before[0] == 0:
-        return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    for _ in range(max_rounds):
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(*oriented(F.col("v"), F.col("m"))).where("hi <> lo").distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi")
-        e = materialize(small.select(*oriented(F.col("lo"), F.col("m"))).unionAll(down.select("hi", F.col("m").alias("lo"))).where("hi <> lo").distinct())
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(roots)

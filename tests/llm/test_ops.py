@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -111,81 +112,166 @@ def test_pieces_join_to_the_text():
 # 3. Line dedup.
 
 
+def edit_similar(a, b, least=0.8):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1] <= int(max(len(a), len(b)) * (1 - least) + 1e-9)
+
+
+def plain_norm(line):
+    return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip() or " ".join(line.split())
+
+
+def prose(seed, n, vocabulary=400):
+    rng = random.Random(seed)
+    word = lambda k: "".join(random.Random(k * 7 + 1).choices("abcdefghijklmnopqrstuvwxyzé", k=2 + k % 7))
+    return " ".join(word(rng.randrange(vocabulary)) for _ in range(n))
+
+
+def linked(x, y):
+    """Whether two normalised lines share a key and are alike enough, told plainly."""
+    return x[1] & y[1] and (x[0] ^ y[0]).bit_count() <= linededup.RADIUS and any((x[0] ^ y[0]) >> 8 * j & 255 == 0 for j in range(8))
+
+
+def plain_keys(body):
+    ws = list(body) if regex.match(r"\p{Han}", body) else body.split(" ")
+    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+    fp = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    bits = {("bits", a, b, fp >> 16 * a & 65535, fp >> 16 * b & 65535) for a in range(4) for b in range(a)}
+    return fp, bits | set(regex.findall(linededup._BLOCK, " ".join(ws)))
+
+
+def plain_line_dedup(texts, candidates=True):
+    """Every pair of different normalised lines is compared, by the operator's keys or by edit similarity alone; a line is one unit here."""
+    places = {}
+    for d, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n") if t is not None else ()):
+            if plain_norm(line):
+                places.setdefault(plain_norm(line), []).append((d, k))
+    names = list(places)
+    keys = {x: plain_keys(x) for x in names}
+    label = {x: x for x in names}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, x in enumerate(names):
+        for y in names[:i]:
+            if find(x) != find(y) and (not candidates or linked(keys[x], keys[y])) and edit_similar(x, y):
+                label[find(x)] = find(y)
+    groups = {}
+    for x in names:
+        groups.setdefault(find(x), []).extend(places[x])
+    gone = {p for g in groups.values() for p in g if p != min(g)}
+    out = []
+    for d, t in enumerate(texts):
+        kept = None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if (d, k) not in gone)
+        out.append((kept, sum(1 for x in gone if x[0] == d)))
+    return out
+
+
+def deduped(spark, texts):
+    rows = linededup.dedup_lines(docs_frame(spark, texts)).collect()
+    return [(r["text"], r["n_removed"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
 def test_lines_exact_near_and_kept(spark):
-    base = [words(i, 30) for i in range(40)]
+    base = [prose(i, 30) for i in range(40)]
     near = base[0].replace(base[0].split()[3], "changed", 1)
+    long_line = " ".join(base[i] for i in range(10, 30))
     texts = [
         "\n".join([base[0], "short line", base[1]]), "\n".join([base[0].upper() + "!", "short line", base[2]]), "\n".join([base[3], base[1] + " 123", ""]),
-        None, "", "\n\n", near + "\n" + base[5], base[1] + "\n" + base[2], " ".join(base[i] for i in range(10, 30)), " ".join(base[i] for i in range(10, 30)) + "\n" + base[30],
+        None, "", "\n\n", near + "\n" + base[5], base[1] + "\n" + base[2], long_line, long_line + "\n" + base[30],
     ]
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs_frame(spark, texts)).collect()}
+    got = deduped(spark, texts)
     assert len(got) == len(texts)
-    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
-    assert got[1]["text"] == "short line\n" + base[2]
-    assert got[2]["text"] == base[3] + "\n"
-    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == "\n\n"
-    assert got[7]["text"] == ""
-    assert got[8]["text"] == texts[8]
-    assert got[9]["text"] == base[30]
+    assert got[0] == (texts[0], 0) and got[1] == (base[2], 2) and got[2] == (base[3] + "\n", 1)
+    assert [got[i][0] for i in (3, 4, 5)] == [None, "", "\n\n"]
+    assert got[6] == (base[5], 1) and got[7] == ("", 2) and got[8] == (long_line, 0) and got[9][0] == base[30]
     staged = {r["doc_id"] for r in linededup.dedup_stage(docs_frame(spark, texts)).collect()}
     assert staged == set(range(10)) - {7}
 
 
-def plain_simhash(ws):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def test_line_groups_are_those_of_all_pairs(spark):
+def test_line_dedup_is_that_of_all_pairs(spark):
+    """The whole query, against edit similarities of all pairs of lines: near copies with a few changed words, lines in another order
+    of words (of one fingerprint), numbers that differ, short lines, signs, and lines of a script without blanks."""
     rng = random.Random(5)
-    lines = []
-    for i in range(60):
-        ws = words(i % 12, 40, 90).split()
+    texts = []
+    for i in range(70):
+        ws = prose(i % 10, 24, 300).split()
         for _ in range(rng.randrange(3)):
-            ws[rng.randrange(40)] = "other"
-        lines.append(" ".join(ws))
-    base = spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "row_key long, doc_id long, text string")
-    removed = {r["row_key"] for r in linededup.duplicate_units(base).collect()}
-    norm = [__import__("re").split("[^a-z]+", t.lower()) for t in lines]
-    prints = [plain_simhash(ws) for ws in norm]
-    classes = {}
-    for i, ws in enumerate(norm):
-        classes.setdefault(tuple(ws), []).append(i)
-    label = list(range(len(lines)))
-
-    def find(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            new = [i + 1]
-            for j, y in enumerate(b):
-                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
-            row = new
-        return row[-1]
-
-    for i in range(len(lines)):
-        for j in range(i):
-            if norm[i] == norm[j] or (prints[i] ^ prints[j]).bit_count() <= 3 and prints[i] != prints[j]:
-                a, b = " ".join(norm[i]), " ".join(norm[j])
-                if norm[i] == norm[j] or distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
-                    x, y = find(i), find(j)
-                    label[max(x, y)] = min(x, y)
-    # Texts of one fingerprint that differ don't occur here, so all pairs are what the operator links.
-    assert len({tuple(n) for n in norm}) == len(set(prints))
-    assert removed == {i for i in range(len(lines)) if find(i) != i}
-
-
-def test_short_lines_numbers_and_unspaced_scripts_go_by_exact_text(spark):
-    chinese, tail = "今天天气很好我们一起去公园散步吧" * 4, words(3, 123)
-    texts = [f"Les.\n12 34\n{chinese}\n---\n\n{tail}", f"LES!\n12 34\n12 35\n{chinese}\n---\n\n***\n{tail}\nend"]
-    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs_frame(spark, texts), short=True).collect()}
-    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
-    assert got[1]["text"] == "12 35\n\n***\nend" and got[1]["n_removed"] == 5
-    assert {r["doc_id"] for r in linededup.dedup_stage(docs_frame(spark, ["Les.", "les", None, ""])).collect()} == {0, 2, 3}
+            ws[rng.randrange(24)] = "other"
+        lines = [" ".join(ws)]
+        if i % 5 == 0:
+            lines.append(" ".join(reversed(ws)))
+        lines += [f"reading of station {i % 4 * 1111} was {i % 7} degrees", "---", rng.choice(["Les.", "les", "Les!"]), "今天天气很好我们一起去公园散步吧" + "好" * (i % 2)]
+        texts.append("\n".join(lines))
+    texts += [None, "", "\n \n"]
+    got = deduped(spark, texts)
+    assert got == plain_line_dedup(texts)
+    # Against edit similarity alone: only short lines lose links.
+    assert sum(n for _, n in got) >= 0.9 * sum(n for _, n in plain_line_dedup(texts, False))
+
+
+def test_classes_of_one_fingerprint_keep_their_links(spark):
+    """Reversed line, line, and line with two adjacent words swapped: all three have one fingerprint, the last two are near copies."""
+    texts = []
+    for i in range(8):
+        ws = prose(100 + i, 30).split()
+        swapped = [*ws[:4], ws[5], ws[4], *ws[6:]]
+        texts += [" ".join(reversed(ws)), " ".join(ws), " ".join(swapped)]
+    got = deduped(spark, texts)
+    assert [n for _, n in got] == [0, 0, 1] * 8
+
+
+def test_numbers_count_and_equal_rows_keep_one_occurrence(spark):
+    far = ["station 17 reads 4 of north", "station 998877 reads 3141592 of north"]
+    assert deduped(spark, far) == [(x, 0) for x in far]
+    chinese = "今天天气很好我们一起去公园散步吧" * 4
+    assert deduped(spark, [chinese] * 3) == [(chinese, 0), ("", 1), ("", 1)]
+    rows = spark.createDataFrame([(1, "one line\n\nother words here", 5, 6)] * 3 + [(None, "one line", 7, 8)], "doc_id long, text string, n_removed long, row long")
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in linededup.dedup_lines(rows).collect())
+    assert got == [(0, "one line", 0), (1, "", 2), (1, "", 2), (1, "\nother words here", 1)]
+    assert linededup.dedup_lines(rows).columns == ["doc_id", "text", "row", "n_removed"]
+    assert linededup.dedup_stage(rows).columns == rows.columns
+    assert linededup.dedup_lines(rows.limit(0)).count() == 0
+
+
+def test_a_dense_group_of_lines_costs_its_rows_and_no_pairs(spark):
+    base = prose(7, 60)
+    texts = []
+    for i in range(300):
+        ws = base.split()
+        ws[i % 60] = f"v{i}"
+        texts.append(" ".join(ws))
+    classes = spark.createDataFrame(list(enumerate(texts)), "class long, body string")
+    roots = {r["root"] for r in linededup.similar_classes(classes).collect()}
+    assert roots == {0}
+    keys = linededup._keys(classes, linededup.fingerprints(classes))
+    assert linededup._ends(keys, "key").count() < 10 * 2 * len(texts)
+
+
+def test_near_lines_are_found(spark):
+    """Recall of linked pairs against edit similarity alone, without the fingerprint: a word in twelve replaced, dropped or added."""
+    rng = random.Random(9)
+    texts, pairs = [], 0
+    for i in range(200):
+        ws = prose(1000 + i, rng.randrange(15, 70), 5000).split()
+        other = []
+        for w in ws:
+            kind = rng.random()
+            other += [w] if kind > 0.08 else [["new", "word"][rng.randrange(2)] + str(rng.randrange(99))] if kind > 0.05 else [w, "more"] if kind > 0.025 else []
+        if edit_similar(" ".join(ws), " ".join(other)):
+            texts += [" ".join(ws), " ".join(other)]
+            pairs += 1
+    removed = sum(n for _, n in deduped(spark, texts))
+    assert pairs > 100 and removed >= 0.85 * pairs
 
 
 # 4. SimHash.
