@@ -13,40 +13,53 @@ from pyspark.sql import types as T
 
 from .common import append_columns, col, materialize, texts_of
 
-#: Tokens of a repeated substring, at least; pages of a host that must hold it: this share, and this number at least.
-MIN_TOKENS, PAGE_SHARE, MIN_PAGES = 6, 0.2, 3
+#: Tokens of a repeated substring, at least, and different pages of a host that must hold it.
+MIN_TOKENS, MIN_PAGES = 6, 3
 #: A block of which this share is covered by repeated substrings is boilerplate.
 COVERED = 0.8
-#: Tokens that one suffix array holds at most; more of a host go to further arrays, whose counts are added up.
+#: Tokens that one suffix array holds at most; more of a host go to further arrays, whose pages are counted together.
 ARRAY_TOKENS = 1 << 18
+#: Pages of a batch.
+PAGES = 64
 
-MAIN, MAYBE, OUT = "main", "maybe", "out"
+#: In the article; outside it, or nowhere clear; marked weakly, for the host's repeats to decide; never the article.
+MAIN, MAYBE, SOFT, OUT = "main", "maybe", "soft", "out"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-# Elements that end a block, elements that never hold the article, void elements, and words of class, id or
-# role that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+# Elements that end a block, elements that never hold the article, void elements; words of class, id or role that
+# mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments; those of them that hold inside an article
+# too; words of layout that may stand beside a mark; words that turn the one after them round.
 _BLOCKS = frozenset("address article aside blockquote body canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _NEVER = frozenset("nav footer aside form head button menu dialog title fieldset label".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay sidebar sidebars widget widgets related recommended share sharing social nav navbar navigation menu menus breadcrumb breadcrumbs footer comment comments reply replies respond disqus form login register search copyright pager pagination skip complementary contentinfo dialog".split())
+_MARKS_INSIDE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsored comment comments reply replies respond disqus form login nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination".split())
+_LAYOUT = frozenset("area bar block body bottom box btn button buttons container content footer form group header holder inner item items left links list main outer panel right row section site slot text thread title top unit wrap wrapper".split())
 _NEGATIONS = frozenset("no not has have with without".split())
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role say boilerplate; whether they say that the article is here."""
-    out = main = False
+def _marked(attributes: str) -> tuple[int, bool]:
+    """How class, id or role mark boilerplate (0 not at all, 1 beside words of their own, 2 clearly, 3 clearly and inside an
+    article too), and whether they say that the article is here."""
+    mark, main = 0, False
     for name, value in _ATTRIBUTE.findall(attributes):
-        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value.strip("\"'")).lower()) if w]
-        out |= any(w in _MARKS and (not i or words[i - 1] not in _NEGATIONS) for i, w in enumerate(words))
-        main |= name.lower() == "itemprop" and "".join(words) == "articlebody" or name.lower() == "role" and words == ["main"]
-    return out, main
+        for token in value.strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+            marks = {w for i, w in enumerate(words) if w in _MARKS and (not i or words[i - 1] not in _NEGATIONS)}
+            if marks:
+                clear = all(w in _MARKS or w in _LAYOUT or w.isdigit() for w in words)
+                mark = max(mark, 1 if not clear else 3 if marks & _MARKS_INSIDE else 2)
+            main |= name.lower() == "itemprop" and "".join(words) == "articlebody" or name.lower() == "role" and words == ["main"]
+    return mark, main
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
     """(zone, text) of each block with text, in page order.
 
-    The zone is OUT inside what never holds the article, MAIN inside an article or main element, else MAYBE. A page without
-    article elements takes its main elements instead. Tags that aren't closed end with what holds them.
+    The zone is OUT inside what never holds the article, MAIN inside an article or main element, else MAYBE; inside an article
+    only menus, forms, sidebars, adverts and comments are OUT. SOFT is what other marks speak of, such as notices in an article,
+    or classes that hold a mark among words of their own ("related-work"). A page without article elements takes its main
+    elements instead. Tags that aren't closed end with what holds them.
     """
     found: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
@@ -97,15 +110,17 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
                     break
                 if stack[i][0] in _BLOCKS and stack[i][0] not in ("p",):
                     break
-        out, main = _marked(m[4] or "")
+        mark, main = _marked(m[4] or "")
         inner = zone
         if name in ("article", "main") and zone == OUT and not any(x in ("article", "main") for x, _ in stack) and not any(z == OUT and x in ("aside", "footer", "form", "section", "div") for x, z in _entered(stack, zone)):
             zone = inner = MAYBE  # a menu or header that was never closed doesn't hold the article
         if zone != OUT:
             if name in ("html", "body"):
                 inner = zone
-            elif name in _NEVER or out or name == "header" and not any(x == "article" for x, _ in stack):
+            elif name in _NEVER or mark == 3 or (mark == 2 or name == "header") and zone not in (MAIN, "in main", SOFT):
                 inner = OUT
+            elif mark:
+                inner = SOFT
             elif name == "article" or main:
                 inner, articles = MAIN, articles + 1
             elif name == "main" and zone == MAYBE:
@@ -161,7 +176,7 @@ def repeated_windows(streams: list[np.ndarray], n: int = MIN_TOKENS) -> list[tup
 
     The streams are concatenated with a separator of its own after each, so that no common prefix runs across. Runs of the
     suffix array with common prefixes of n or more are the substrings that long; a position belongs to a repeated substring of
-    n or more tokens if and only if such a window covers it.
+    n or more tokens if and only if such a window covers it, so the windows' union gives the longest substrings.
     """
     if not streams:
         return []
@@ -187,6 +202,14 @@ def repeated_windows(streams: list[np.ndarray], n: int = MIN_TOKENS) -> list[tup
     return list(zip(owner[suffixes].tolist(), place[suffixes].tolist(), pages[kind].tolist(), suffixes[first][kind].tolist(), strict=True))
 
 
+def covered_positions(size: int, windows: list[int], n: int = MIN_TOKENS) -> np.ndarray:
+    """Which of ``size`` tokens the n-token windows at these places cover."""
+    hit = np.zeros(size, bool)
+    for at in windows:
+        hit[at : at + n] = True
+    return hit
+
+
 def _tokens(blocks: list[str]) -> tuple[np.ndarray, list[int]]:
     """Hashes of the blocks' words, in page order, and where each block ends."""
     from xxhash import xxh64_intdigest
@@ -198,6 +221,12 @@ def _tokens(blocks: list[str]) -> tuple[np.ndarray, list[int]]:
     return np.array(out, np.int64), ends
 
 
+def _word_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode(), 1) - (1 << 63)
+
+
 def _hash(window: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -205,122 +234,136 @@ def _hash(window: np.ndarray) -> int:
 
 
 def parse(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, host, row_key, blocks) of every page; blocks: array of (zone, text)."""
+    """(page_id, url, host, row_key, sketch, blocks) of every page; blocks: array of (zone, text), sketch: a hash of the longest one."""
     kind = T.ArrayType(T.StructType([T.StructField("zone", T.StringType()), T.StructField("text", T.StringType())]))
     base = pages.select(col(page_id).alias("page_id"), col(url).alias("url"), col(html).alias("html"))
 
     def make():
         arrow = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
-        return lambda batch: [pa.array([[{"zone": z, "text": t} for z, t in blocks_of(x)] for x in texts_of(batch, "html")], arrow)]
 
+        def step(batch):
+            found = [blocks_of(x) for x in texts_of(batch, "html")]
+            longest = [max((t for _, t in blocks), key=len, default="") for blocks in found]
+            return [pa.array([[{"zone": z, "text": t} for z, t in blocks] for blocks in found], arrow), pa.array([_word_hash(x) for x in longest], pa.int64())]
+
+        return step
+
+    fields = [T.StructField("blocks", kind), T.StructField("sketch", T.LongType())]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    return append_columns(base, [T.StructField("blocks", kind)], make).select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("row_key"), "blocks")
+    return append_columns(base, fields, make, PAGES).select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("row_key"), "sketch", "blocks")
 
 
-def host_boilerplate(parsed: DataFrame, n: int = MIN_TOKENS, share: float = PAGE_SHARE, least: int = MIN_PAGES) -> DataFrame:
-    """(host, gram): n-token windows that ``share`` of a host's pages hold outside their articles, and ``least`` pages at least.
+def host_boilerplate(parsed: DataFrame, n: int = MIN_TOKENS, least: int = MIN_PAGES) -> DataFrame:
+    """(host, gram): n-token windows that ``least`` different pages of a host hold outside their articles, whatever the host's size.
 
     Pages are sorted by host within their partitions; a task builds a suffix array over the pages of one host at a time, at
-    most ARRAY_TOKENS tokens in each, and passes on each distinct window once with its number of pages. A hot host is thus many
-    arrays in many tasks; their counts meet in one sum by host and window. Pages with equal tokens there count each.
+    most ARRAY_TOKENS tokens in each, and passes on each distinct window once for each of up to ``least`` different pages. A hot
+    host is thus many arrays in many tasks; its pages meet in one count by host and window. Copies of a page, known by their
+    longest block, are one page: what only copies share stays.
     """
 
     def run(batches):
-        held, here, size = [], None, 0
+        held, sketches, here, size = [], [], None, 0
 
         def counted():
-            seen = {}
-            for k, at, pages, kind in repeated_windows(held, n):
+            seen: dict[int, tuple[int, set[int]]] = {}
+            for k, at, _, kind in repeated_windows(held, n):
                 if kind not in seen:
-                    seen[kind] = _hash(held[k][at : at + n]), pages
-            return [(here, gram, pages) for gram, pages in seen.values()]
+                    seen[kind] = _hash(held[k][at : at + n]), set()
+                if len(seen[kind][1]) < least:
+                    seen[kind][1].add(sketches[k])
+            return [(here, gram, x) for gram, pages in seen.values() for x in pages]
 
         for batch in batches:
             out = []
-            for host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, blocks, sketch in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 stream = _tokens(blocks)[0]
                 if host != here or size + len(stream) > ARRAY_TOKENS:
                     out += counted()
-                    held, here, size = [], host, 0
+                    held, sketches, here, size = [], [], host, 0
                 held.append(stream)
+                sketches.append(sketch)
                 size += len(stream) + 1
             if out:
                 yield _grams(out)
         if held:
             yield _grams(counted())
 
-    loose = parsed.select("host", F.transform(F.filter("blocks", lambda b: b.zone != MAIN), lambda b: b.text).alias("texts")).where(F.size("texts") > 0)
-    counts = loose.sortWithinPartitions("host").mapInArrow(run, "host string, gram long, pages long").groupBy("host", "gram").agg(F.sum("pages").alias("pages"))
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("of"))
-    return counts.join(hosts, "host").where((F.col("pages") >= least) & (F.col("pages") >= F.col("of") * share)).select("host", "gram")
+    loose = parsed.select("host", F.transform(F.filter("blocks", lambda b: b.zone != MAIN), lambda b: b.text).alias("texts"), "sketch").where(F.size("texts") > 0)
+    pages = loose.sortWithinPartitions("host").mapInArrow(run, "host string, gram long, page long").distinct()
+    return pages.groupBy("host", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("host", "gram")
 
 
 def _grams(rows) -> pa.RecordBatch:
-    host, gram, pages = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(gram, pa.int64()), pa.array(pages, pa.int64())], names=["host", "gram", "pages"])
+    host, gram, page = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(gram, pa.int64()), pa.array(page, pa.int64())], names=["host", "gram", "page"])
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", n: int = MIN_TOKENS, share: float = PAGE_SHARE, least: int = MIN_PAGES) -> DataFrame:
-    """(page_id, url, text, runs): the main text of each page, and the unique runs of its blocks that weren't certain.
+def decide(blocks: list[tuple[str, str]], places: list[int], n: int = MIN_TOKENS) -> tuple[str, list[str], int, int, int]:
+    """The text that stays of a page, its unique runs, and how many characters repeats dropped, markup dropped, and both left.
 
-    Markup says for most blocks whether they are the article (inside article or main elements) or never are (menus, headers,
-    footers, sidebars, notices, adverts, forms, comments). For all others the host decides: a block that repeated substrings
-    cover by COVERED or more is dropped; ``runs`` holds what such substrings leave of the undecided blocks. Text: the kept
-    blocks in page order, joined by newlines, white space in a block being one blank; "" if there are none. Null html: "".
-    A page without a host shares its boilerplate with all such pages. Repeated rows come back repeated; other columns go.
+    ``places``: where repeated windows start among the tokens of all blocks that aren't MAIN. A block they cover by COVERED or
+    more is boilerplate. Of what repeats leave, OUT blocks go by their markup; all else stays.
+    """
+    stream, ends = _tokens([t for z, t in blocks if z != MAIN])
+    hit = covered_positions(len(stream), places, n)
+    kept, runs, k, start, by_repeats, by_markup = [], [], 0, 0, 0, 0
+    for zone, text in blocks:
+        if zone == MAIN:
+            kept.append(text)
+            continue
+        here = hit[start : ends[k]]
+        start, k = ends[k], k + 1
+        if here.mean() >= COVERED:
+            by_repeats += len(text)
+        elif zone == OUT:
+            by_markup += len(text)
+        else:
+            kept.append(text)
+        if zone != OUT:
+            runs.append(" ".join(w for w, x in zip(text.split(" "), here, strict=True) if not x))
+    return "\n".join(kept), [x for x in runs if x], by_repeats, by_markup, sum(map(len, kept))
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", n: int = MIN_TOKENS, least: int = MIN_PAGES) -> DataFrame:
+    """(page_id, url, text, runs, by_repeats, by_markup, kept): the main text of each page, the unique runs of its blocks outside the
+    article, and the characters that repeats dropped, that markup dropped, and that stay.
+
+    All that isn't plainly in an article goes through the host's suffix arrays: a block that substrings of ``n`` or more tokens,
+    held by ``least`` different pages of the host, cover by COVERED or more is boilerplate. Only what is left of menus, headers,
+    footers, forms, adverts, comments and the like (on hosts of few pages, or unlike everywhere) goes by its markup. Weak marks
+    drop nothing without repeats, and unmarked blocks of an article always stay. Text: the kept blocks in page order, joined by
+    newlines, white space in a block being one blank; "" if there are none. Null or empty html: "". A page without a host shares
+    its boilerplate with all such pages. Repeated rows come back repeated; other columns go. An empty table gives an empty one.
     """
     parsed = materialize(parse(pages, page_id, url, html))
-    common = host_boilerplate(parsed, n, share, least)
-    maybe = F.exists("blocks", lambda b: b.zone == MAYBE)
-    certain, unsure = parsed.where(~maybe), parsed.where(maybe)
-    joined = lambda blocks: F.array_join(F.transform(F.filter(blocks, lambda b: b.zone == MAIN), lambda b: b.text), "\n")
+    common = host_boilerplate(parsed, n, least)
     fields = [T.StructField("grams", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("gram", T.LongType())])))]
 
     def windows():
         def step(batch):
             out = []
             for blocks in batch.column(batch.schema.get_field_index("blocks")).to_pylist():
-                stream, at, found = _tokens([b["text"] for b in blocks if b["zone"] != MAIN])[0], 0, []
-                for at in range(len(stream) - n + 1):
-                    found.append({"at": at, "gram": _hash(stream[at : at + n])})
-                out.append(found)
+                stream = _tokens([b["text"] for b in blocks if b["zone"] != MAIN])[0]
+                out.append([{"at": at, "gram": _hash(stream[at : at + n])} for at in range(len(stream) - n + 1)])
             return [pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())])))]
 
         return step
 
-    # Only pages with undecided blocks ask for their windows. One page counts once for a window's hot key: each asks with its
-    # own rows, which adaptive execution splits if a window is in very many pages.
-    asked = append_columns(unsure.select("row_key", "host", "blocks"), fields, windows).select("row_key", "host", F.explode("grams").alias("g")).select("row_key", "host", "g.at", "g.gram")
+    # A window's hot key is asked for once by each place that holds it, which adaptive execution splits.
+    asked = append_columns(parsed.select("row_key", "host", "blocks"), fields, windows, PAGES).select("row_key", "host", F.explode("grams").alias("g")).select("row_key", "host", "g.at", "g.gram")
     covered = asked.join(common, ["host", "gram"]).groupBy("row_key").agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    decided = unsure.join(covered, "row_key", "left")
+    decided = parsed.join(covered, "row_key", "left")
 
-    def decide():
+    def make():
         def step(batch):
             names = batch.schema.names
-            texts, runs = [], []
-            for blocks, places in zip(batch.column(names.index("blocks")).to_pylist(), batch.column(names.index("covered")).to_pylist(), strict=True):
-                loose = [b["text"] for b in blocks if b["zone"] != MAIN]
-                stream, ends = _tokens(loose)
-                hit = np.zeros(len(stream), bool)
-                for at in places or []:
-                    hit[at : at + n] = True
-                kept, left, k, start = [], [], 0, 0
-                for b in blocks:
-                    if b["zone"] == MAIN:
-                        kept.append(b["text"])
-                        continue
-                    here = hit[start : ends[k]]
-                    if b["zone"] == MAYBE:
-                        if here.mean() < COVERED:
-                            kept.append(b["text"])
-                        left += [" ".join(w for w, x in zip(b["text"].split(" "), here, strict=True) if not x)]
-                    start, k = ends[k], k + 1
-                texts.append("\n".join(kept))
-                runs.append([x for x in left if x])
-            return [pa.array(texts, pa.string()), pa.array(runs, pa.list_(pa.string()))]
+            blocks, places = (batch.column(names.index(x)).to_pylist() for x in ("blocks", "covered"))
+            rows = [decide([(b["zone"], b["text"]) for b in x], y or [], n) for x, y in zip(blocks, places, strict=True)]
+            kinds = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
+            return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
 
         return step
 
-    out = [T.StructField("text", T.StringType()), T.StructField("runs", T.ArrayType(T.StringType()))]
-    settled = append_columns(decided, out, decide).select("page_id", "url", "text", "runs")
-    return certain.select("page_id", "url", joined("blocks").alias("text"), F.array().cast("array<string>").alias("runs")).unionByName(settled)
+    out = [T.StructField("text", T.StringType()), T.StructField("runs", T.ArrayType(T.StringType())), *[T.StructField(x, T.LongType()) for x in ("by_repeats", "by_markup", "kept")]]
+    return append_columns(decided, out, make, PAGES).select("page_id", "url", "text", "runs", "by_repeats", "by_markup", "kept")

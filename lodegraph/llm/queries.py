@@ -57,7 +57,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "runs", "by_repeats", "by_markup")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def plain_keys(body):
     ws = list(body) if regex.match(r"\p{Han}", body) else body.split(" ")
     hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
     fp = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    bits = {("bits", a, b, fp >> 16 * a & 65535, fp >> 16 * b & 65535) for a in range(4) for b in range(a)}
+    bits = {("bits", a, b, fp >> 21 * a & 2097151, fp >> 21 * b & 2097151) for a in range(3) for b in range(a)}
     return fp, bits | set(regex.findall(linededup._BLOCK, " ".join(ws)))
 
 
@@ -250,10 +250,10 @@ def test_a_dense_group_of_lines_costs_its_rows_and_no_pairs(spark):
         ws = base.split()
         ws[i % 60] = f"v{i}"
         texts.append(" ".join(ws))
-    classes = spark.createDataFrame(list(enumerate(texts)), "class long, body string")
-    roots = {r["root"] for r in linededup.similar_classes(classes).collect()}
+    units = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "unit long, class long, body string")
+    roots = {r["root"] for r in linededup.similar_classes(units, units).collect()}
     assert roots == {0}
-    keys = linededup._keys(classes, linededup.fingerprints(classes))
+    keys = linededup._keys(units, linededup.fingerprints(units))
     assert linededup._ends(keys, "key").count() < 10 * 2 * len(texts)
 
 
@@ -432,15 +432,59 @@ def test_blocks_and_zones():
     assert html.blocks_of(None) == html.blocks_of("") == html.blocks_of("<p> </p><!-- x -->") == []
 
 
-def test_boilerplate_without_markup_is_found_by_repeats(spark):
-    def page(i, notice):
-        return f"<body><div>{notice}</div><div>{words(i, 40)}</div><div>Home about imprint terms of use and privacy policy</div></body>"
+def test_weak_marks_in_an_article_drop_nothing_alone():
+    inside = '<article><section class="related-work">a</section><section id="search-methods">b</section><p class="share-prices">c</p><p class="notice">d</p><div class="ad-box">e</div><ul class="comment-list"><li>f</ul><form>g</form><nav>h</nav></article>'
+    assert dict((t, z) for z, t in html.blocks_of(inside)) == dict(zip("abcdefgh", [html.SOFT] * 4 + [html.OUT] * 4, strict=True))
+    assert html.decide(html.blocks_of(inside), [])[0] == "a\nb\nc\nd"
 
-    notice = "This site stores small files in your browser to work well for you"
-    rows = [(i, f"https://h.example/{i}", page(i, notice)) for i in range(12)] + [(50, "https://other.example/1", page(50, notice)), (51, "https://h.example/n", None), (52, None, "<p>alone</p>")]
-    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == words(i, 40) for i in range(12))
-    assert got[50].startswith(notice) and got[51] == "" and got[52] == "alone"
+
+def site(seed, n, marked):
+    """Pages of one host: a menu, a notice and a footer that repeat, articles that don't; and what their text is."""
+    rng = random.Random(seed)
+    menu, notice, end = "".join(f"<li><a>{w}</a></li>" for w in words(seed, 8).split()), words(seed + 1, 14), words(seed + 2, 9)
+    pages, want = [], []
+    for i in range(n):
+        body = [words(seed + 10 + i * 7 + k, rng.randrange(4, 60)) for k in range(rng.randrange(1, 4))]
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        top = f"<nav>{menu}</nav>" if marked else f"<ul>{menu}</ul>"
+        middle = f'<article><p class="notice">{notice}</p>{inner}</article>' if marked else f"<div>{notice}</div>{inner}"
+        pages.append(f"<body>{top}{middle}<div>{end}</div></body>")
+        want.append("\n".join(body))
+    return pages, want
+
+
+@pytest.mark.parametrize("marked", [False, True])
+def test_boilerplate_is_what_different_pages_of_a_host_repeat(spark, marked):
+    pages, want = site(3, 12, marked)
+    copies = [f"<div>{words(77, 50)}</div><div>{words(78, 20)}</div>"] * 4
+    rows = [(i, f"https://h.example/{i}", x) for i, x in enumerate(pages)] + [(100 + i, "https://copies.example/x", x) for i, x in enumerate(copies)]
+    rows += [(50, "https://other.example/1", pages[0]), (51, "https://h.example/n", None), (52, None, "<p>alone</p>"), (52, None, "<p>alone</p>"), (53, "", "<p>" + "long " * 60000)]
+    frame = spark.createDataFrame([(*x, 1, "b") for x in rows], "page_id long, url string, html string, host long, blocks string")
+    found = html.extract(frame).collect()
+    got = {r["page_id"]: r["text"] for r in found}
+    assert len(found) == len(rows) and [got[i] for i in range(12)] == want
+    assert all(got[100 + i] == words(77, 50) + "\n" + words(78, 20) for i in range(4))
+    assert got[50].count("\n") > want[0].count("\n") and got[51] == "" and got[52] == "alone" and len(got[53]) == 5 * 60000 - 1
+    assert all(r["by_repeats"] > 0 and not r["by_markup"] for r in found if r["page_id"] < 12)
+    assert html.extract(frame.limit(0)).count() == 0
+
+
+def test_extract_is_the_plain_count_of_repeats(spark):
+    """The whole operator against windows counted in a dictionary, on sf0.01."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r["page_id"], r["url"].split("/")[2].lower().split(":")[0] if r["url"] else "", html.blocks_of(r["html"])) for r in pages.collect()]
+    token = lambda blocks: [w for z, t in blocks if z != html.MAIN for w in t.lower().split(" ")]
+    held = {}
+    for _, host, blocks in rows:
+        ws, longest = token(blocks), max((t for _, t in blocks), key=len, default="")
+        for i in range(len(ws) - html.MIN_TOKENS + 1):
+            held.setdefault((host, *ws[i : i + html.MIN_TOKENS]), set()).add(longest)
+    want = {}
+    for page_id, host, blocks in rows:
+        ws = token(blocks)
+        want[page_id] = html.decide(blocks, [i for i in range(len(ws) - html.MIN_TOKENS + 1) if len(held[(host, *ws[i : i + html.MIN_TOKENS])]) >= html.MIN_PAGES])
+    got = {r["page_id"]: (r["text"], r["runs"], r["by_repeats"], r["by_markup"], r["kept"]) for r in html.extract(pages).collect()}
+    assert got == want and sum(x[2] for x in want.values()) > 0
 
 
 def test_suffix_array_and_windows():
