@@ -19,11 +19,23 @@ def scratch_path(spark: SparkSession, kind: str = "part") -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch to delete the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df from a Parquet copy in the shared folder: cuts the lineage of a loop, and no executor's loss undoes it."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df from a Parquet copy in the shared folder: cuts the lineage of a loop, and no executor's loss undoes it.
+
+    The shuffle files of the query that wrote it go at once, as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    copy = spark.read.schema(df.schema).parquet(path)
     copy._written_to = path
     return copy
 
