@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import col, materialize
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 1 << 14
 ROW_BLOCK = 1 << 16
-#: Larger quantised components would overflow a score; vectors that hold one take no part.
-LIMIT = 1 << 25
+#: Vectors of smaller quantised components go through the slices; larger ones, whose scores may not fit in 64 bits on the way, by
+#: whole numbers of any size.
+SLICED = 1 << 25
+_MOST = (1 << 63) - 1
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -92,19 +94,54 @@ class SlicedIndex:
         return _unpack(sure | open_, self.n)
 
 
-def _top(index: SlicedIndex, ids: np.ndarray, query: np.ndarray, own: int, k: int):
-    rows = index.candidates(query, min(index.n, k + 1))
-    rows = rows[ids[rows] != own]
-    scores = index.vectors[rows] @ query
-    order = np.lexsort((ids[rows], -scores))[:k]
-    return ids[rows[order]], scores[order]
+def _whole(matrix: np.ndarray) -> np.ndarray:
+    """Whole doubles as Python integers."""
+    return np.array([[int(x) for x in row] for row in matrix.tolist()], object).reshape(matrix.shape)
+
+
+class Block:
+    """The rows of one block: those of moderate components in a sliced index, the few others as they are."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
+        small = (np.abs(matrix) < SLICED).all(1)
+        self.ids, self.index = ids[small], SlicedIndex(matrix[small].astype(np.int64)) if small.any() else None
+        self.far_ids, self.far = ids[~small], matrix[~small]
+        self.every, self.wide = (ids, matrix), None
+
+    def top(self, query: np.ndarray, own: int, k: int) -> tuple[list[int], list[int]]:
+        """Ids and scores of the k best rows but those of the query's own id; ties to the smaller id."""
+        if (np.abs(query) < SLICED).all():
+            found = self._sliced(query.astype(np.int64), own, k) + self._exact(query, own, self.far_ids, _whole(self.far)) if len(self.far) else self._sliced(query.astype(np.int64), own, k)
+        else:
+            self.wide = _whole(self.every[1]) if self.wide is None else self.wide
+            found = self._exact(query, own, self.every[0], self.wide)
+        found.sort(key=lambda x: (-x[1], x[0]))
+        return [x[0] for x in found[:k]], [x[1] for x in found[:k]]
+
+    def _sliced(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        if self.index is None:
+            return []
+        # Rows of the query's own id may be among the best: so many more are asked for.
+        rows = self.index.candidates(query, min(self.index.n, k + int((self.ids == own).sum())))
+        rows = rows[self.ids[rows] != own]
+        scores = self.index.vectors[rows] @ query
+        best = np.lexsort((self.ids[rows], -scores))[:k]
+        return list(zip(self.ids[rows[best]].tolist(), scores[best].tolist(), strict=True))
+
+    def _exact(self, query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+        q = [int(x) for x in query.tolist()]
+        score = lambda row: max(-_MOST - 1, min(_MOST, sum(a * b for a, b in zip(row, q, strict=True))))
+        return [(int(i), score(row)) for i, row in zip(ids.tolist(), rows.tolist(), strict=True) if i != own]
 
 
 def quantise(embeddings: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component. Rows whose id or vector is null or empty, or that hold a null, non-finite or huge component go."""
-    v = F.transform(col(vector), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = F.forall(col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < LIMIT / scale))
-    return embeddings.where(col(vec_id).isNotNull() & col(vector).isNotNull()).where(fine & (F.size(col(vector)) > 0)).select(col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
+    """(vec_id, v): floor(scale * x) of every component, a whole double. Rows whose id or vector is null, or that hold a null or
+    non-finite component, go."""
+    # The scale is a power of two and floor() of a double of 2^53 or more is itself, so no step rounds; %, unlike floor(), knows no limit.
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    v = F.transform(col(vector), lambda x: scaled(x) - F.pmod(scaled(x), F.lit(1.0)))
+    fine = F.forall(col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    return embeddings.where(col(vec_id).isNotNull() & col(vector).isNotNull()).where(fine).select(col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def top_k(embeddings: DataFrame, queries, k: int = 20, scale: int = 64, vec_id: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
@@ -114,7 +151,8 @@ def top_k(embeddings: DataFrame, queries, k: int = 20, scale: int = 64, vec_id:
     ``row_block`` and queries into blocks of about ``query_block``; each pair of blocks is one task's work: it slices the
     rows once and answers its queries exactly, and the k best of each block are merged by rank. Ties go to the smaller id;
     a repeated id is a row of its own as a candidate, but never of its own query. A query id that is repeated with another
-    vector is asked once, with its smallest vector. Vectors of different lengths don't meet. Fewer rows than k: all. Empty: none.
+    vector is asked once, with its smallest vector. Vectors of different lengths don't meet, empty ones score 0. A score beyond
+    64 bits counts as the largest (or smallest) of 64 bits. Fewer rows than k: all. An empty table gives none; other columns go.
     """
     base = materialize(quantise(embeddings, vec_id, vector, scale).withColumn("dims", F.size("v")))
     asked = base.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"), F.min(F.struct("v", "dims"))["dims"].alias("dims"))
@@ -143,7 +181,7 @@ def top_k(embeddings: DataFrame, queries, k: int = 20, scale: int = 64, vec_id:
                 key = (dims[s], rb[s], qb[s])
                 if key != here:
                     here, held_ids, held, index = key, [], [], None
-                matrix = flat[offsets[s] : offsets[e]].reshape(e - s, dims[s]).astype(np.int64)
+                matrix = flat[offsets[s] : offsets[e]].reshape(e - s, dims[s])
                 if not ask[s]:
                     held_ids.append(ids[s:e])
                     held.append(matrix)
@@ -151,14 +189,13 @@ def top_k(embeddings: DataFrame, queries, k: int = 20, scale: int = 64, vec_id:
                 if not held:
                     continue
                 if index is None:
-                    index, own_ids = SlicedIndex(np.concatenate(held)), np.concatenate(held_ids)
-                    held = [index.vectors]
+                    index, held = Block(np.concatenate(held_ids), np.concatenate(held)), [None]
                 for q, query in zip(ids[s:e].tolist(), matrix, strict=True):
-                    found, scores = _top(index, own_ids, query, q, k)
+                    found, scores = index.top(query, q, k)
                     for to, x in zip(out, (np.full(len(found), q), found, scores), strict=True):
-                        to.append(x)
+                        to.append(np.array(x, np.int64))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -393,15 +393,20 @@ def test_payload_comes_with_the_response(spark):
 
 @pytest.mark.parametrize(("row_block", "query_block"), [(1 << 16, 2048), (17, 3)])
 def test_top_k_is_brute_force(spark, row_block, query_block):
+    """Nulls, empty vectors, vectors of another length, huge components, repeated ids and a query's own copies."""
+    import math
+
     rng = np.random.default_rng(1)
     vectors = [rng.integers(-3, 4, 6).astype(float) / 8 for _ in range(90)]
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, []), (202, [float("nan")] * 6), (203, [None] * 6), (220, [1.0, 2.0]), (240, [0.0] * 6), (7, vectors[3].tolist())]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, row_block=row_block, query_block=query_block).collect()
-    good = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
-    for q, v in good:
-        if q % 20:
-            continue
-        best = sorted((-int(w @ v), i) for i, w in good if i != q and len(w) == len(v))[:5]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, []), (220, []), (202, [float("nan")] * 6), (203, [None] * 6), (260, [1.0, 2.0]), (240, [0.0] * 6)]
+    rows += [(7, vectors[3].tolist()), *[(40, vectors[40].tolist())] * 6, (301, [600000.0, 0.0, 0.0, 0.0, 0.0, 0.5]), (320, [-1.5e12, 0.0, 1.0, 0.0, 0.0, 0.0]), (340, [3e200, 0.0, 0.0, 0.0, 0.0, 1.0]), (204, [float("inf")] * 6)]
+    frame = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, v long")
+    got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=5, row_block=row_block, query_block=query_block).collect()
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
+    limit = (1 << 63) - 1
+    for q in {i for i, _ in good if i % 20 == 0}:
+        v = min(w for i, w in good if i == q)
+        best = sorted((-max(-limit - 1, min(limit, sum(a * b for a, b in zip(w, v, strict=True)))), i) for i, w in good if i != q and len(w) == len(v))[:5]
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
@@ -616,6 +621,27 @@ def test_added_spans_are_those_of_the_plain_votes(spark):
 # 10. Language identification.
 
 
+def test_language_of_odd_rows_and_of_ties(spark):
+    docs = spark.createDataFrame([(i, t, lang, 1) for i, (t, lang) in enumerate([("the house of the lord " * 5, "en"), ("la casa de la mujer " * 5, "es")] * 40)] + [(900, "½ ² ① ៣", "en", 2), (901, None, "en", 2), (902, "", None, 2), (902, "", None, 2), (903, "the " * 50000, None, 2)], "doc_id long, text string, lang string, lang_pred long")
+    got = langid.identify(docs).collect()
+    assert len(got) == docs.count() and docs.columns[:3] == ["doc_id", "text", "lang"]
+    assert {(r["lang_pred"], r["score"]) for r in got if 900 <= r["doc_id"] <= 902} == {("und", 0.0)}
+    assert {r["lang_pred"] for r in got if r["doc_id"] == 903} < {"en", "es"}
+    empty = langid.identify(docs.limit(0))
+    assert empty.count() == 0
+    even = langid.ByteCNN(["aa", "bb"])
+    even.p["out"][:], even.p["bias"][:] = 0, 0
+    assert even.predict(["some text"]) == [("aa", 0.5)]
+
+
+def test_training_sample_has_the_smallest_hashes_whatever_the_counts(spark):
+    rng = random.Random(2)
+    rows = [(lang, rng.randrange(-(2**63), 2**63), f"p{i}") for i in range(3000) for lang in (("a",) if i % 10 else ("a", "b"))] + [("c", 5, "same")] * 4000 + [("c", -(2**63) + 9, "other")]
+    got = langid._smallest(spark.createDataFrame(rows, "lang string, h long, piece string"), 50)
+    want = sorted((h, p, x) for x in "abc" for h, p in sorted({(h, p) for y, h, p in rows if y == x})[:50])
+    assert list(zip(got["h"], got["piece"], got["lang"], strict=True)) == want
+
+
 def test_language_model_learns_and_repeats(spark):
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
     extra = docs_frame(spark, [None, "", "123 !!"]).withColumn("doc_id", F.col("doc_id") + 10**6)
@@ -631,6 +657,8 @@ def test_language_model_learns_and_repeats(spark):
     batch = np.random.default_rng(0).integers(0, 256, (4, langid.WINDOW)).astype(np.uint8)
     assert np.allclose(model.forward(batch), model.apply(batch, model.tables()), atol=1e-5)
     assert langid.fit(docs.where("false")) is None
+    again = langid.fit(docs)
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
 
 
 # The queries and the pipeline.
