@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +18,7 @@ EMBED = 8
 #: Bounds of the training sample: windows a language, bytes of a text they are cut from.
 SAMPLE_PER_LANGUAGE = 900
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(text: str, size: int = WINDOW) -> np.ndarray:
@@ -163,22 +162,37 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _smallest(pieces: DataFrame, most: int) -> dict[str, list]:
+    """Of each language's (lang, h, piece) the ``most`` with the smallest hashes, in order of hash.
+
+    The count of a language says under which hash about twice as many lie; only those are fetched, so no task ranks a language.
+    Where equal rows leave too few under it, the share is raised until there are enough or all are there.
+    """
+    counts = {r["lang"]: r["count"] for r in pieces.groupBy("lang").count().collect()}
+    share, found = {x: min(1.0, 2 * most / n) for x, n in counts.items()}, []
+    while share:
+        limit = F.coalesce(*[F.when(F.col("lang") == x, F.lit(int((2 * s - 1) * (1 << 63)) if s < 1 else (1 << 63) - 1)) for x, s in share.items()])
+        got = pieces.where(F.col("lang").isin(list(share)) & (F.col("h") <= limit)).distinct().select("lang", "h", "piece").toArrow().to_pylist()
+        kept = {x: sorted((r["h"], r["piece"]) for r in got if r["lang"] == x) for x in share}
+        found += [(h, p, x) for x, rows in kept.items() if len(rows) >= most or share[x] >= 1 for h, p in rows[:most]]
+        share = {x: min(1.0, 4 * s) for x, s in share.items() if len(kept[x]) < most and s < 1}
+    found.sort()
+    return {"h": [r[0] for r in found], "piece": [r[1] for r in found], "lang": [r[2] for r in found]}
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, unclear: bool = False) -> ByteCNN | None:
     """The network, trained on at most ``per_language`` windows of each language from labelled documents that aren't held out.
 
     A document gives one piece from a place that a hash of its id sets anywhere in the text; of these, those with the smallest
     hashes are taken. That bound keeps the driver's share constant; everything is predicted from whole texts.
-    Repeated rows count again. None if there is no labelled text. With ``unclear``, the network also learns "und" from letter
+    Equal rows count once. None if there is no labelled text. With ``unclear``, the network also learns "und" from letter
     junk made of the sample.
     """
     labelled = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), col(lang).alias("lang"))
     labelled = labelled.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.char_length("text") - WINDOW, F.lit(1))).cast("int") + 1
     piece = labelled.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", start, F.lit(WINDOW)).alias("piece"))
-    from pyspark.sql import Window
-
-    ranked = piece.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))).where(F.col("r") <= per_language)
-    rows = ranked.select("lang", "h", "piece").toArrow().sort_by([("h", "ascending"), ("piece", "ascending")]).to_pydict()
+    rows = _smallest(piece, per_language)
     names = sorted(set(rows["lang"]))
     if not names:
         return None
@@ -224,7 +238,8 @@ def _junk(pieces: list[str], n: int) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Null text, text without letters, or no model: "und" with score 0. Columns so named are replaced."""
+    """docs with lang_pred and score. Null text, text without letters (\\p{L}), or no model: "und" with score 0. Columns so named are
+    replaced. Languages of equal probability: the first in their order. Repeated rows come back repeated, an empty table empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
