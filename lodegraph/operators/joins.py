@@ -28,6 +28,17 @@ def drug_evidence_pairs(drug_disease: DataFrame, drug_protein: DataFrame) -> Dat
     return a.join(i, PAIR, "full_outer").select(*PAIR, F.coalesce("in_approved", F.lit(0)).cast("long").alias("in_approved"), F.coalesce("in_investigated", F.lit(0)).cast("long").alias("in_investigated"))
 
 
+def drug_linked(pairs: DataFrame, drug_disease: DataFrame, drug_protein: DataFrame, relation: str) -> DataFrame:
+    """Those of the pairs that a drug of the relation links (J4): what fan_out() would have of them, without making all pairs of a drug.
+
+    Each disease and each gene carries its set of drugs, and a pair is asked whether the two overlap.
+    """
+    drugs = lambda df, key: df.groupBy(key).agg(F.collect_set("drug").alias(f"of_{key}"))
+    mine = drugs(drug_disease.where(fullmatch("relation", relation)), "disease_index")
+    both = pairs.select(*PAIR).distinct().join(mine, "disease_index").join(drugs(drug_protein, "gene_index"), "gene_index")
+    return both.where(F.arrays_overlap("of_disease_index", "of_gene_index")).select(*PAIR)
+
+
 def star(base: DataFrame, *dimensions: tuple[DataFrame, str | list[str]]) -> DataFrame:
     """Left joins of dimension tables onto one base."""
     return reduce(lambda df, d: df.join(d[0], d[1], "left"), dimensions, base)

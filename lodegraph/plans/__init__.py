@@ -1,4 +1,4 @@
 """All registered queries of the engine's own operators."""
 
-from . import evaluation, graph, relational  # noqa: F401
+from . import evaluation, graph, relational, studies  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -91,12 +91,16 @@ def _(r):
 @query("e07_novel_discovery", "scored truth drug_evidence", """
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY disease_index ORDER BY proba DESC, gene_index) AS rank FROM scored WHERE is_target = 0),
 l AS (SELECT 'truth' AS truth, n.disease_index, rank, CASE WHEN t.gene_index IS NULL THEN 0 ELSE 1 END AS linked FROM n LEFT JOIN truth t ON n.disease_index = t.disease_index AND n.gene_index = t.gene_index
- UNION ALL SELECT 'approved', n.disease_index, rank, CASE WHEN t.gene_index IS NULL THEN 0 ELSE 1 END FROM n LEFT JOIN drug_evidence t ON n.disease_index = t.disease_index AND n.gene_index = t.gene_index AND in_approved = 1),
+ UNION ALL SELECT 'approved', n.disease_index, rank, CASE WHEN t.gene_index IS NULL THEN 0 ELSE 1 END FROM n LEFT JOIN drug_evidence t ON n.disease_index = t.disease_index AND n.gene_index = t.gene_index AND in_approved = 1
+ UNION ALL SELECT 'investigated', n.disease_index, rank, CASE WHEN t.gene_index IS NULL THEN 0 ELSE 1 END FROM n LEFT JOIN drug_evidence t ON n.disease_index = t.disease_index AND n.gene_index = t.gene_index AND in_investigated = 1),
 p AS (SELECT truth, disease_index, count(*) AS n, sum(linked) AS m, sum(CASE WHEN rank <= 10 THEN linked ELSE 0 END) AS h10, sum(CASE WHEN rank <= 50 THEN linked ELSE 0 END) AS h50 FROM l GROUP BY 1, 2 HAVING count(*) >= 200 AND sum(linked) >= 1),
 x AS (SELECT truth, n, m, 10 AS k, h10 AS h FROM p UNION ALL SELECT truth, n, m, 50, h50 FROM p)
 SELECT truth, CAST(k AS BIGINT) AS k, count(*) AS n_diseases, CAST(sum(h) AS BIGINT) AS hits, round(sum(least(k, n) * m / CAST(n AS DOUBLE)), 6) AS expected, round(sum(h) / sum(least(k, n) * m / CAST(n AS DOUBLE)), 6) AS lift FROM x GROUP BY 1, 2""")
 def _(r):
-    truths = {"truth": r.truth(), "approved": r.drug_evidence().where("in_approved = 1")}
+    # Only the novel pairs are asked for their drugs.
+    novel = r.scored().where("is_target = 0").select(*joins.PAIR)
+    linked = lambda relation: joins.drug_linked(novel, r.drug_disease(), r.drug_protein(), relation)
+    truths = {"truth": r.truth(), "approved": linked("indication"), "investigated": linked("drug_investigated_for")}
     return rounded(evaluate.novel_discovery(r.scored(), truths), "expected", "lift")
 
 
