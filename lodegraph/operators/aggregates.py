@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running_total
+from .store import written
+
 
 def joined_set(column: str, sep: str = "+") -> Column:
     """The distinct values in order, joined."""
@@ -44,8 +47,8 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 def concentration(df: DataFrame, value: str, shares: tuple[float, ...] = (0.01, 0.1)) -> DataFrame:
     """The share of the total that the highest 1 % and 10 % of rows hold (A14), from counts per distinct value."""
     counts = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("before", before)
+    counts = written(counts)
+    ranked = running_total(counts.where("v IS NOT NULL"), "v", "n", "upto", descending=True).withColumn("before", F.col("upto") - F.col("n"))
     total = F.broadcast(counts.agg(F.sum("n").alias("rows"), F.sum(F.col("v") * F.col("n")).alias("mass")))
     both = ranked.crossJoin(total)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import auc_from_ascending, auc_from_descending, hanley_mcneil_se, poisson_upper, ratio
 from .joins import PAIR, flag_members
-from .ranking import average_rank, either_top, percentile_bins, rank_bins, rank_first, rank_pct, value_counts_upto
+from .ranking import average_rank, either_top, percentile_bins, rank_bins, rank_first, rank_pct, running_total, value_counts_upto
 
 
 def hits(rank: str, k: int, label: Column) -> Column:
@@ -43,7 +43,7 @@ def pooled_auc(scored: DataFrame, score: str = "proba", label: str = "is_target"
     """One AUC over all rows (E4). Ranks come from counts per distinct score, so no task ranks the table."""
     y = F.col(label)
     counts = scored.groupBy(F.col(score).alias("value")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    upto = counts.withColumn("rank", F.sum("n").over(Window.orderBy("value")) - (F.col("n") - 1) / 2.0)
+    upto = running_total(counts.where("value IS NOT NULL"), "value", "n", "upto").withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
     sums = upto.agg(F.sum("pos").cast("long").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).cast("long").alias("n_neg"), F.sum(F.col("rank") * F.col("pos")).alias("rs"))
     return sums.select("n_pos", "n_neg", auc_from_ascending(F.col("rs"), F.col("n_pos"), F.col("n_neg")).alias("auc"))
 

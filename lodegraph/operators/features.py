@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeometric_z, inverse_power
+from . import walks
 from .store import written
 
 GATE = 20
@@ -33,6 +34,7 @@ def dwpc_ggd(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, w: float = 0.4)
     ppi holds every edge both ways; each of its rows is a path's first step. The factor of the last node is split by whether g is
     in the module, so the sum runs over (m, D) factors once.
     """
+    ppi, assoc = written(ppi), written(assoc)
     modules = module_size(assoc, gate)
     deg = degrees(ppi, "x_index", "deg")
     seen = degrees(assoc, "gene_index", "n_assoc")
@@ -48,6 +50,7 @@ def dwpc_through(annotation: DataFrame, assoc: DataFrame, gate: int = GATE, w: f
     ``max_fanout`` drops terms of more genes; ``eligible_only`` counts a gene's associations over gated diseases only. The middle
     table is (term, disease); a gene's own share of it is subtracted instead of filtered out of the paths.
     """
+    annotation, assoc = written(annotation), written(assoc)
     modules = module_size(assoc, gate)
     if max_fanout:
         wide = annotation.groupBy("term_index").agg(F.count("*").alias("fan")).where(F.col("fan") <= max_fanout).select("term_index")
@@ -57,15 +60,17 @@ def dwpc_through(annotation: DataFrame, assoc: DataFrame, gate: int = GATE, w: f
     scope = assoc.join(modules, "disease_index", "left_semi") if eligible_only else assoc
     seen = degrees(scope, "gene_index", "n_assoc")
     ends = assoc.join(modules, "disease_index").join(seen, "gene_index").join(deg, "gene_index").select("gene_index", "disease_index", "module_size", inverse_power(F.col("deg") * F.col("n_assoc"), w).alias("f"))
-    middle = annotation.join(ends, "gene_index").groupBy("term_index", "disease_index").agg(F.sum("f").alias("f"), F.max("module_size").alias("module_size"))
+    ends = written(ends)
+    middle = annotation.join(ends, "gene_index").groupBy("term_index", "disease_index").agg(F.sum("f").alias("f"), F.max("module_size").alias("module_size"), F.count("*").alias("genes"))
     first = annotation.join(terms, "term_index").select("gene_index", "term_index", F.pow(inverse_power(F.col("term_deg"), w), F.lit(2.0)).alias("t"))
-    sums = first.join(middle, "term_index").groupBy("gene_index", "disease_index").agg(F.sum(F.col("t") * F.col("f")).alias("s"), F.max("module_size").alias("module_size"))
-    back = first.groupBy("gene_index").agg(F.sum("t").alias("t"))
-    own = ends.join(back, "gene_index").select("gene_index", "disease_index", (F.col("f") * F.col("t")).alias("own"))
+    sums = first.join(middle, "term_index").groupBy("gene_index", "disease_index").agg(F.sum(F.col("t") * F.col("f")).alias("s"), F.max("module_size").alias("module_size"), F.sum("genes").alias("paths"))
+    back = first.groupBy("gene_index").agg(F.sum("t").alias("t"), F.count("*").alias("back"))
+    own = ends.join(back, "gene_index").select("gene_index", "disease_index", (F.col("f") * F.col("t")).alias("own"), "back")
     joined = sums.join(own, ["gene_index", "disease_index"], "left").join(deg, "gene_index")
     less = F.when(F.col("own").isNull(), 0).otherwise(1)
     value = (F.col("s") - F.coalesce("own", F.lit(0.0))) * inverse_power(F.col("deg"), w) * inverse_power(F.col("module_size") - less, w)
-    return joined.select("gene_index", "disease_index", value.alias("dwpc")).where("dwpc > 1e-12")
+    # A pair is there if some path leads over another gene; the difference of sums alone couldn't tell a small rest from rounding.
+    return joined.where(F.col("paths") > F.coalesce("back", F.lit(0))).select("gene_index", "disease_index", F.greatest(value, F.lit(0.0)).alias("dwpc"))
 
 
 def dwpc_via_drug(drug_protein: DataFrame, drug_disease: DataFrame, w: float = 0.4) -> DataFrame:
@@ -79,8 +84,8 @@ def dwpc_via_drug(drug_protein: DataFrame, drug_disease: DataFrame, w: float = 0
 
 def neighbourhood(ppi: DataFrame, assoc: DataFrame, gate: int = GATE) -> DataFrame:
     """Common neighbours, Adamic-Adar and Jaccard of a gene's neighbours with a module (F7). Simple degrees; leaves weigh 0."""
+    simple, assoc = written(ppi.select("x_index", "y_index").distinct()), written(assoc)
     modules = module_size(assoc, gate)
-    simple = ppi.select("x_index", "y_index").distinct()
     deg = degrees(simple, "x_index", "deg")
     weight = F.when(F.col("deg") > 1, 1 / F.ln("deg")).otherwise(F.lit(0.0))
     ends = assoc.join(modules, "disease_index").join(deg, "gene_index").select(F.col("gene_index").alias("m"), "disease_index", "module_size", weight.alias("w"))
@@ -124,12 +129,19 @@ def common_neighbour_z(ppi: DataFrame, assoc: DataFrame) -> DataFrame:
     return shared.withColumnRenamed("g", "gene_index").join(deg, "gene_index").join(size, "disease_index").crossJoin(n).select("gene_index", "disease_index", "x", hypergeometric_z(F.col("x"), F.col("n"), F.col("deg"), F.col("k")).alias("z"))
 
 
-def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int = 5, hops: int = 3) -> DataFrame:
-    """Closest and mean distance, exp(-d) kernel and number of seeds reached within ``hops``, a gene's own seed left out."""
+def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int = 5, hops: int = 3, local_edges: int = walks.LOCAL_EDGES) -> DataFrame:
+    """Closest and mean distance, exp(-d) kernel and number of seeds reached within ``hops``, a gene's own seed left out.
+
+    A graph of up to ``local_edges`` edges goes to every task, which searches from the seeds of one disease at a time, 64 in a
+    word of bits; seeds times their reach never stand in a table. A larger one goes by joins.
+    """
     simple = written(ppi.select("x_index", "y_index").distinct())
     inside = assoc.join(simple.select(F.col("x_index").alias("gene_index")).distinct(), "gene_index", "left_semi")
     fit = inside.groupBy("disease_index").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("disease_index").join(module_size(assoc, gate).select("disease_index"), "disease_index")
     seeds = inside.join(fit, "disease_index").select("disease_index", F.col("gene_index").alias("seed"))
+    graph = walks.collected(simple, local_edges)
+    if graph is not None:
+        return walks.proximities(graph, _dealt(seeds.groupBy("disease_index").agg(F.collect_set("seed").alias("nodes")), "disease_index"), hops)
     from .ontology import k_hop
 
     reach = k_hop(seeds.select(F.col("seed").alias("node")).distinct(), simple, hops).where("hops > 0")
@@ -138,22 +150,30 @@ def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int
     )
 
 
-def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300, every: int = 5) -> DataFrame:
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Few rows of much work each, over as many tasks as there are shuffle partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300, every: int = 5, local_edges: int = walks.LOCAL_EDGES) -> DataFrame:
     """(walk_id, node, score): random walk with restart at each walk's seeds.
 
-    edges hold both directions; seeds: (walk_id, node). Starts uniform over all nodes; the mass of each walk stays 1. A walk's
-    seeds without edges don't count; a walk without any other has no rows. All walks go together, one join and sum a round;
-    every few rounds the table is written and the largest change of a walk is compared with n times the tolerance.
+    edges hold both directions; seeds: (walk_id, node). The mass of each walk stays 1, and it goes on until a round changes it by
+    less than n times the tolerance. A walk's seeds without edges don't count; a walk without any other has no rows.
+    A graph of up to ``local_edges`` edges goes to every task, and tasks share out the walks. On a larger one all walks go
+    together from their seeds, one join and sum a round; every few rounds the table is written and the largest change taken.
     """
-    simple = edges.select("x_index", "y_index").distinct()
+    simple = written(edges.select("x_index", "y_index").distinct())
+    nodes = simple.select(F.col("x_index").alias("node")).distinct()
+    inside = seeds.join(nodes, "node", "left_semi").distinct()
+    graph = walks.collected(simple, local_edges)
+    if graph is not None:
+        return walks.walks(graph, _dealt(inside.groupBy("walk_id").agg(F.collect_list("node").alias("nodes")), "walk_id"), alpha, tolerance, max_rounds)
     out_degree = simple.groupBy("x_index").agg(F.count("*").alias("deg"))
     steps = written(simple.join(out_degree, "x_index").select(F.col("x_index").alias("node"), F.col("y_index").alias("to"), (1 / F.col("deg")).alias("p")))
-    nodes = steps.select("node").distinct()
     n = nodes.count()
-    inside = seeds.join(nodes, "node", "left_semi").distinct()
     restart = written(inside.join(inside.groupBy("walk_id").agg(F.count("*").alias("k")), "walk_id").select("walk_id", "node", (1 / F.col("k")).alias("r")))
-    walks = restart.select("walk_id").distinct()
-    score = written(walks.crossJoin(nodes).select("walk_id", "node", F.lit(1 / max(n, 1)).alias("score")))
+    score = restart.withColumnRenamed("r", "score")
     for i in range(max_rounds):
         moved = score.join(steps, "node").groupBy("walk_id", F.col("to").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("s"))
         new = moved.join(restart, ["walk_id", "node"], "full_outer").select("walk_id", "node", (alpha * F.coalesce("s", F.lit(0.0)) + (1 - alpha) * F.coalesce("r", F.lit(0.0))).alias("score"))
@@ -174,10 +194,11 @@ def held_out_walk(edges: DataFrame, assoc: DataFrame, folds: int = 5, gate: int
 
     Folds come from a hash of the pair, not from a shuffled order.
     """
+    assoc, edges = written(assoc), written(edges.select("x_index", "y_index"))
     seeds = assoc.join(module_size(assoc, gate).select("disease_index"), "disease_index").withColumn("fold", F.pmod(F.xxhash64("gene_index", "disease_index"), F.lit(folds)))
     walk_id = lambda d, f: d * (folds + 1) + f
     full = seeds.select(walk_id(F.col("disease_index"), F.lit(folds)).alias("walk_id"), F.col("gene_index").alias("node"))
-    left = seeds.crossJoin(edges.sparkSession.range(folds).withColumnRenamed("id", "f")).where("f <> fold").select(walk_id(F.col("disease_index"), F.col("f")).alias("walk_id"), F.col("gene_index").alias("node"))
+    left = seeds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("f <> fold").select(walk_id(F.col("disease_index"), F.col("f")).alias("walk_id"), F.col("gene_index").alias("node"))
     scores = written(random_walk(edges, full.unionAll(left), max_rounds=max_rounds))
     n = edges.select("x_index").distinct().count()
     named = scores.select(F.col("node").alias("gene_index"), F.expr(f"walk_id div {folds + 1}").alias("disease_index"), (F.col("walk_id") % (folds + 1)).alias("f"), "score")

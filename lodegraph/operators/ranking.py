@@ -1,7 +1,8 @@
 """Ranks and top-k within groups. Five kinds of rank coexist; each has its own function.
 
 A window holds one group in one task. Groups here are ranked lists (a disease's pool); what ranks a whole table
-(``percentile_bins``, ``rank_bins``) works on counts per distinct value instead, so no task gathers all rows.
+works on counts per distinct value instead, range-partitioned and added up over partitions (``running_total``), so no task
+gathers all rows or all values.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def _by(group) -> list:
     return [group] if isinstance(group, str) else list(group)
@@ -69,18 +72,48 @@ def either_top(df: DataFrame, group, order: str, tie: str, subset: Column, k: in
     return both.where((F.col("rank_all") <= k) | (F.col("rank_subset") <= k))
 
 
+def running_total(df: DataFrame, order: str, measure: str, out: str, descending: bool = False) -> DataFrame:
+    """df with the sum of ``measure`` over all rows up to each in ``order`` (whose values are distinct).
+
+    Rows are range-partitioned and written, added up within partitions, and what the partitions before hold (a table of one row
+    a partition) is added.
+    """
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    placed = written(df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()))
+    inner = Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__p").agg(F.sum(measure).alias("__s")).select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    return placed.withColumn("__within", F.sum(measure).over(inner)).join(F.broadcast(sums), "__p").withColumn(out, F.col("__within") + F.col("__before")).drop("__p", "__within", "__before")
+
+
 def value_counts_upto(df: DataFrame, value: str) -> DataFrame:
     """(value, n, upto): rows of each distinct value and of all values up to it."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
+    return running_total(counts, "value", "n", "upto")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row, ``e``: the interpolated quantiles of the values that aren't null, picked by place out of counts of distinct values."""
+    counts = value_counts_upto(df, value)
+    total = F.broadcast(counts.agg(F.sum("n").alias("rows")))
+    first = F.col("upto") - F.col("n")
+    picked = []
+    for i, p in enumerate(shares):
+        at = F.lit(p) * (F.col("rows") - 1)
+        holds = lambda k: F.max(F.when((first <= k) & (k < F.col("upto")), F.col("value").cast("double")))
+        picked += [holds(F.floor(at)).alias(f"lo{i}"), holds(F.ceil(at)).alias(f"hi{i}")]
+    edges = counts.crossJoin(total).groupBy("rows").agg(*picked)
+    at = lambda p: F.lit(p) * (F.col("rows") - 1)
+    between = lambda i, p: F.when(F.floor(at(p)) == F.ceil(at(p)), F.col(f"lo{i}")).otherwise((F.ceil(at(p)) - at(p)) * F.col(f"lo{i}") + (at(p) - F.floor(at(p))) * F.col(f"hi{i}"))
+    return edges.select(F.array(*[between(i, p) for i, p in enumerate(shares)]).alias("e"))
 
 
 def percentile_bins(df: DataFrame, value: str, k: int, out: str = "bin") -> DataFrame:
     """Quantile bins of the raw value, equal edges merged, right-closed with the least value in the first."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("e")).select(F.array_sort(F.array_distinct("e")).alias("__edges"))
+    edges = quantiles(df, value, [i / k for i in range(k + 1)]).select(F.array_sort(F.array_distinct("e")).alias("__edges"))
     inner = F.slice("__edges", F.lit(2), F.greatest(F.size("__edges") - 2, F.lit(0)))
     number = F.size(F.filter(inner, lambda e: e < F.col(value))).cast("long") + 1
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), number)).drop("__edges")
+    return df.join(F.broadcast(edges), how="left").withColumn(out, F.when(F.col(value).isNotNull(), number)).drop("__edges")
 
 
 def rank_bins(df: DataFrame, group, value: str, tie: str, k: int, out: str = "bin") -> DataFrame:

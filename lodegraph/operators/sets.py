@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
 EDGE = ["x_id", "x_type", "x_source", "y_id", "y_type", "y_source", "relation", "display_relation"]
 NODE_KEY = ["node_type", "node_source", "node_id", "node_name"]
 
@@ -66,7 +68,8 @@ def assign_node_index(nodes: DataFrame) -> DataFrame:
     Rows are range-partitioned and sorted; a partition's rows are numbered within it, and the count of all partitions before
     (a table of one row per partition) is added.
     """
-    keyed = nodes.select(*NODE_KEY).repartitionByRange(*NODE_KEY).sortWithinPartitions(*NODE_KEY).withColumn("__p", F.spark_partition_id())
+    keyed = nodes.select(*NODE_KEY).repartitionByRange(*NODE_KEY).withColumn("__p", F.spark_partition_id())
+    keyed = written(keyed)
     # Equal rows stand in one partition, so a rank within it is exact whatever the order of equals.
     local = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*NODE_KEY)))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__c"))

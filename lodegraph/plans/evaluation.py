@@ -295,10 +295,10 @@ def _(r):
 
 
 @query("e32_area_shape", "genes", """
-WITH g AS (SELECT CASE WHEN regexp_matches(type, 'steel|tin', 'i') THEN 'hard' ELSE 'other' END AS area, brand, count(*) AS n, count(*) FILTER (size > 25) AS usable FROM genes GROUP BY 1, 2)
+WITH g AS (SELECT CASE WHEN regexp_matches(type, 'larg|promo', 'i') THEN 'hard' ELSE 'other' END AS area, brand, count(*) AS n, count(*) FILTER (size > 25) AS usable FROM genes GROUP BY 1, 2)
 SELECT area, CAST(sum(n) AS BIGINT) AS n_terms, count(*) FILTER (n >= 2) AS two_terms, count(*) FILTER (usable >= 2) AS two_usable, count(*) FILTER (n >= 3) AS three_terms FROM g GROUP BY 1""")
 def _(r):
-    area = F.when(F.col("type").rlike("(?i)steel|tin"), "hard").otherwise("other")
+    area = F.when(F.col("type").rlike("(?i)larg|promo"), "hard").otherwise("other")
     g = r.genes().groupBy(area.alias("area"), "brand").agg(F.count("*").alias("n"), F.count_if(F.col("size") > 25).alias("usable"))
     return g.groupBy("area").agg(F.sum("n").alias("n_terms"), F.count_if(F.col("n") >= 2).alias("two_terms"), F.count_if(F.col("usable") >= 2).alias("two_usable"), F.count_if(F.col("n") >= 3).alias("three_terms"))
 

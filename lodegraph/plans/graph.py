@@ -11,33 +11,34 @@ from .relational import rounded
 _REACH = "WITH RECURSIVE up AS (SELECT child AS d, parent AS a, 1 AS h FROM tree UNION ALL SELECT u.d, t.parent, h + 1 FROM up u JOIN tree t ON u.a = t.child)"
 
 
-@query("g01_largest_component", "sparse_ppi", """
-WITH RECURSIVE c AS (SELECT DISTINCT x_index AS n, x_index AS root FROM sparse_ppi UNION SELECT e.y_index, c.root FROM c JOIN sparse_ppi e ON c.n = e.x_index),
-l AS (SELECT n, min(root) AS root FROM c GROUP BY 1), b AS (SELECT root FROM l GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1)
-SELECT x_index, y_index FROM sparse_ppi WHERE x_index IN (SELECT n FROM l JOIN b USING (root))""")
+# Every node takes the least label of its neighbours until none changes; a node keeps one row.
+_LABELS = """
+WITH RECURSIVE n AS (SELECT DISTINCT unnest([x_index, y_index]) AS n FROM ppi), c(n, root) USING KEY (n) AS (SELECT n, n FROM n
+  UNION (SELECT e.y_index, min(c.root) AS root FROM c JOIN ppi e ON c.n = e.x_index JOIN recurring.c AS old ON old.n = e.y_index WHERE c.root < old.root GROUP BY 1))"""
+
+
+@query("g01_largest_component", "ppi", f"""{_LABELS},
+b AS (SELECT root FROM c GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1) SELECT x_index, y_index FROM ppi WHERE x_index IN (SELECT n FROM c JOIN b USING (root))""")
 def _(r):
-    return ontology.largest_component(r.sparse_ppi()).select("x_index", "y_index")
+    return ontology.largest_component(r.ppi()).select("x_index", "y_index")
 
 
-@query("g02_components", "sparse_ppi", """
-WITH RECURSIVE c AS (SELECT DISTINCT x_index AS n, x_index AS root FROM sparse_ppi UNION SELECT e.y_index, c.root FROM c JOIN sparse_ppi e ON c.n = e.x_index)
-SELECT n AS node, min(root) AS component FROM c GROUP BY 1""")
+@query("g02_components", "ppi", f"{_LABELS} SELECT n AS node, root AS component FROM c")
 def _(r):
-    return ontology.components(r.sparse_ppi())
+    return ontology.components(r.ppi())
 
 
-@query("g03_two_hop", "sparse_ppi", """
-WITH s AS (SELECT DISTINCT x_index AS s FROM sparse_ppi WHERE x_index % 10 = 0), one AS (SELECT s, y_index AS n, 1 AS h FROM s JOIN sparse_ppi ON s = x_index),
-two AS (SELECT s, y_index AS n, 2 AS h FROM one JOIN sparse_ppi ON n = x_index)
+@query("g03_two_hop", "ppi", """
+WITH s AS (SELECT DISTINCT x_index AS s FROM ppi), one AS (SELECT s, y_index AS n, 1 AS h FROM s JOIN ppi ON s = x_index),
+two AS (SELECT DISTINCT s, y_index AS n, 2 AS h FROM one JOIN ppi ON n = x_index)
 SELECT s AS source, n AS node, CAST(min(h) AS BIGINT) AS hops FROM (SELECT s, s AS n, 0 AS h FROM s UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1, 2""")
 def _(r):
-    nodes = r.sparse_ppi().where("x_index % 10 = 0").select(F.col("x_index").alias("node")).distinct()
-    return ontology.k_hop(nodes, r.sparse_ppi(), 2)
+    return ontology.k_hop(r.ppi().select(F.col("x_index").alias("node")).distinct(), r.ppi(), 2)
 
 
 @query("g03_greedy_groups")
 def _(r):
-    return ontology.greedy_groups(r.sparse_ppi())
+    return ontology.greedy_groups(r.ppi())
 
 
 @query("g04_descendants", "tree", f"{_REACH} SELECT DISTINCT d AS descendant FROM up WHERE a IN (3, 10)")
@@ -178,10 +179,10 @@ def _(r):
 
 
 @query("f06_dwpc_capped", "pathway assoc", f"""
-WITH {_MODULE}, ann AS (SELECT * FROM pathway WHERE term_index IN (SELECT term_index FROM pathway GROUP BY 1 HAVING count(*) <= 160)), {_DEGREES},
+WITH {_MODULE}, ann AS (SELECT * FROM pathway WHERE term_index IN (SELECT term_index FROM pathway GROUP BY 1 HAVING count(*) <= 86)), {_DEGREES},
 ad AS (SELECT gene_index AS g, count(*) AS d FROM assoc WHERE disease_index IN (SELECT disease_index FROM mod) GROUP BY 1) {_THROUGH}""")
 def _(r):
-    return rounded(features.dwpc_through(r.pathway(), r.assoc(), max_fanout=160, eligible_only=True), "dwpc")
+    return rounded(features.dwpc_through(r.pathway(), r.assoc(), max_fanout=86, eligible_only=True), "dwpc")
 
 
 @query("f07_neighbourhood", "ppi assoc", f"""
@@ -226,28 +227,30 @@ def _(r):
     return rounded(features.common_neighbour_z(r.ppi(), r.assoc()), "z")
 
 
-_HOPS = """s AS (SELECT DISTINCT gene_index AS s FROM ins JOIN fit USING (disease_index)), one AS (SELECT s, y_index AS n, 1 AS h FROM s JOIN sparse_ppi ON s = x_index),
-two AS (SELECT DISTINCT s, y_index AS n, 2 AS h FROM one JOIN sparse_ppi ON n = x_index), three AS (SELECT DISTINCT s, y_index AS n, 3 AS h FROM two JOIN sparse_ppi ON n = x_index),
+# The third hop is asked only of what the second doesn't reach.
+_HOPS = """s AS (SELECT DISTINCT gene_index AS s FROM ins JOIN fit USING (disease_index)), one AS (SELECT s, y_index AS n, 1 AS h FROM s JOIN ppi ON s = x_index),
+two AS (SELECT DISTINCT s, y_index AS n, 2 AS h FROM one JOIN ppi ON n = x_index), far AS (SELECT s, x_index AS n FROM s, (SELECT DISTINCT x_index FROM ppi) EXCEPT SELECT s, n FROM two),
+three AS (SELECT DISTINCT far.s, far.n, 3 AS h FROM far JOIN ppi e ON e.y_index = far.n JOIN two ON two.s = far.s AND two.n = e.x_index),
 dist AS (SELECT s, n, min(h) AS h FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) WHERE s <> n GROUP BY 1, 2)"""
 
 
-@query("f12_proximity", "sparse_ppi assoc", f"""
-WITH {_MODULE}, ins AS (SELECT * FROM assoc WHERE gene_index IN (SELECT x_index FROM sparse_ppi)), fit AS (SELECT disease_index FROM ins GROUP BY 1 HAVING count(*) >= 5 INTERSECT SELECT disease_index FROM mod), {_HOPS}
+@query("f12_proximity", "ppi assoc", f"""
+WITH {_MODULE}, ins AS (SELECT * FROM assoc WHERE gene_index IN (SELECT x_index FROM ppi)), fit AS (SELECT disease_index FROM ins GROUP BY 1 HAVING count(*) >= 5 INTERSECT SELECT disease_index FROM mod), {_HOPS}
 SELECT n AS gene_index, disease_index, CAST(min(h) AS BIGINT) AS closest, round(avg(h), 6) AS mean_distance, round(sum(exp(-h)), 6) AS kernel, count(*) AS n_reach
 FROM ins JOIN fit USING (disease_index) JOIN dist ON gene_index = s GROUP BY 1, 2""")
 def _(r):
-    return rounded(features.proximity(r.sparse_ppi(), r.assoc()), "mean_distance", "kernel")
+    return rounded(features.proximity(r.ppi(), r.assoc()), "mean_distance", "kernel")
 
 
 @query("f13_random_walk")
 def _(r):
-    seeds = r.assoc().where("disease_index % 100 = 1").select(F.col("disease_index").alias("walk_id"), F.col("gene_index").alias("node"))
-    return features.random_walk(r.sparse_ppi(), seeds, max_rounds=40)
+    seeds = r.assoc().select(F.col("disease_index").alias("walk_id"), F.col("gene_index").alias("node"))
+    return features.random_walk(r.ppi(), seeds)
 
 
 @query("f13_held_out_walk")
 def _(r):
-    return features.held_out_walk(r.sparse_ppi(), r.assoc().where("disease_index % 50 = 1"), gate=10, max_rounds=20)
+    return features.held_out_walk(r.ppi(), r.assoc())
 
 
 @query("f14_evidence_depth", "", """
@@ -267,29 +270,35 @@ def _(r):
     return features.localisation(r.pathway(), r.tree(), [3], [5])
 
 
-@query("f16_triangles", "sparse_ppi", """
-WITH u AS (SELECT x_index AS a, y_index AS b FROM sparse_ppi WHERE x_index < y_index), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
-c AS (SELECT n, count(*) AS t FROM (SELECT unnest([i, j, k]) AS n FROM t) GROUP BY 1), d AS (SELECT x_index AS n, count(*) AS k FROM sparse_ppi GROUP BY 1)
+@query("f16_triangles", "ppi", """
+WITH u AS (SELECT x_index AS a, y_index AS b FROM ppi WHERE x_index < y_index), t AS (SELECT x.a AS i, x.b AS j, y.b AS k FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
+c AS (SELECT n, count(*) AS t FROM (SELECT unnest([i, j, k]) AS n FROM t) GROUP BY 1), d AS (SELECT x_index AS n, count(*) AS k FROM ppi GROUP BY 1)
 SELECT d.n AS node, k AS degree, coalesce(t, 0) AS triangles, round(CASE WHEN k > 1 THEN 2.0 * coalesce(t, 0) / (k * (k - 1)) ELSE 0.0 END, 6) AS clustering FROM d LEFT JOIN c ON d.n = c.n""")
 def _(r):
-    return rounded(features.triangles(r.sparse_ppi()), "clustering")
+    return rounded(features.triangles(r.ppi()), "clustering")
 
 
-@query("f16_pagerank")
+@query("f16_pagerank", "ppi", """
+WITH RECURSIVE d AS (SELECT x_index AS n, count(*) AS k FROM ppi GROUP BY 1), t AS (SELECT count(*) AS n FROM d), e AS (SELECT x_index, y_index, k FROM ppi JOIN d ON x_index = n),
+s AS (SELECT 0 AS i, d.n AS node, CAST(1.0 AS DOUBLE) / t.n AS score FROM d, t UNION ALL SELECT i + 1, y_index, any_value(CAST(0.15 AS DOUBLE) / t.n) + CAST(0.85 AS DOUBLE) * sum(score / k) FROM s JOIN e ON node = x_index, t WHERE i < 20 GROUP BY i, y_index)
+SELECT node, round(score, 6) AS score FROM s WHERE i = 20""")
 def _(r):
-    return rounded(features.pagerank(r.sparse_ppi()), "score")
+    return rounded(features.pagerank(r.ppi()), "score")
 
 
-@query("f16_eigenvector")
+@query("f16_eigenvector", "ppi", """
+WITH RECURSIVE s AS (SELECT DISTINCT 0 AS i, x_index AS node, CAST(1.0 AS DOUBLE) AS score FROM ppi
+ UNION ALL SELECT i, node, raw / max(raw) OVER () FROM (SELECT i + 1 AS i, y_index AS node, sum(score) AS raw FROM s JOIN ppi ON node = x_index WHERE i < 20 GROUP BY i, y_index))
+SELECT node, round(score, 6) AS score FROM s WHERE i = 20""")
 def _(r):
-    return rounded(features.eigenvector(r.sparse_ppi(), 10), "score")
+    return rounded(features.eigenvector(r.ppi()), "score")
 
 
-@query("f17_merge_interactomes", "sparse_ppi", """
-WITH s AS (SELECT x_index, y_index, 'a' AS source FROM sparse_ppi UNION ALL SELECT y_index, x_index, 'b' FROM sparse_ppi WHERE x_index % 2 = 0 UNION ALL SELECT x_index, y_index, 'c' FROM sparse_ppi WHERE y_index % 3 = 0)
+@query("f17_merge_interactomes", "ppi", """
+WITH s AS (SELECT x_index, y_index, 'a' AS source FROM ppi UNION ALL SELECT y_index, x_index, 'b' FROM ppi WHERE x_index % 2 = 0 UNION ALL SELECT x_index, y_index, 'c' FROM ppi WHERE y_index % 3 = 0)
 SELECT least(x_index, y_index) AS a, greatest(x_index, y_index) AS b, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM s GROUP BY 1, 2""")
 def _(r):
-    s = r.sparse_ppi()
+    s = r.ppi()
     return features.merge_interactomes({"a": s, "b": s.where("x_index % 2 = 0"), "c": s.where("y_index % 3 = 0")})
 
 

@@ -79,15 +79,15 @@ def _(r):
     return readers.read_obo(r.spark, path).select("id", "name", F.size("parents").cast("long").alias("n_parents"))
 
 
-@query("s10_slim", "", "SELECT regexp_replace(p_type, '^PROMO ', '') AS p_type, count(*) AS n FROM part WHERE p_type LIKE 'PROMO %' GROUP BY 1")
+@query("s10_slim", "", "SELECT regexp_replace(p_brand, '^Brand#1', '') AS p_brand, count(*) AS n FROM part WHERE p_brand LIKE 'Brand#1%' GROUP BY 1")
 def _(r):
-    return readers.slim(r.table("part").select("p_type"), "p_type", "PROMO ").groupBy("p_type").agg(F.count("*").alias("n"))
+    return readers.slim(r.table("part").select("p_brand"), "p_brand", "Brand#1").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
-@query("s11_inside_both", "sparse_ppi genes", """
-SELECT x_index, y_index FROM sparse_ppi WHERE x_index IN (SELECT gene_index FROM genes WHERE size <= 25) AND y_index IN (SELECT gene_index FROM genes WHERE size <= 25)""")
+@query("s11_inside_both", "ppi genes", """
+SELECT x_index, y_index FROM ppi WHERE x_index IN (SELECT gene_index FROM genes WHERE size <= 25) AND y_index IN (SELECT gene_index FROM genes WHERE size <= 25)""")
 def _(r):
-    return readers.inside_both(r.sparse_ppi(), r.genes().where("size <= 25"), "x_index", "y_index", "gene_index").select("x_index", "y_index")
+    return readers.inside_both(r.ppi(), r.genes().where("size <= 25"), "x_index", "y_index", "gene_index").select("x_index", "y_index")
 
 
 @query("s13_pipe_filter", "", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 3 GROUP BY 1")
@@ -150,9 +150,9 @@ def _(r):
     return some.join(r.truth(), joins.PAIR, "left_anti").select(*joins.PAIR)
 
 
-@query("p04_self_loops", "", "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> l_suppkey OR l_linestatus <> l_returnflag")
+@query("p04_self_loops", "", "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_partkey <> l_suppkey OR (l_quantity > 25) <> (l_linenumber > 3)")
 def _(r):
-    li = r.table("lineitem").select(F.col("l_partkey").alias("x_id"), F.col("l_suppkey").alias("y_id"), F.col("l_linestatus").alias("x_type"), F.col("l_returnflag").alias("y_type"))
+    li = r.table("lineitem").select(F.col("l_partkey").alias("x_id"), F.col("l_suppkey").alias("y_id"), (F.col("l_quantity") > 25).alias("x_type"), (F.col("l_linenumber") > 3).alias("y_type"))
     return sets.drop_self_loops(li, ("id", "type")).select(F.col("x_id").alias("l_partkey"), F.col("y_id").alias("l_suppkey"))
 
 
@@ -164,12 +164,12 @@ def _(r):
 
 
 @query("p06_case_cascade", "genes", """
-SELECT gene_index, CASE WHEN type LIKE '%STEEL%' AND size > 25 THEN 'steel_large' WHEN type LIKE '%STEEL%' THEN 'steel' WHEN type LIKE 'PROMO%' THEN 'promo'
- WHEN type LIKE '%BRASS%' AND brand = 'Brand#11' THEN 'brass_11' WHEN type LIKE '%BRASS%' THEN 'brass' WHEN type LIKE 'ECONOMY%' THEN 'economy' WHEN size < 5 THEN 'tiny'
+SELECT gene_index, CASE WHEN type LIKE '%LARGE%' AND size > 25 THEN 'large_wide' WHEN type LIKE '%LARGE%' THEN 'large' WHEN type LIKE 'PROMO%' THEN 'promo'
+ WHEN type LIKE '%SMALL%' AND brand = 'Brand#11' THEN 'small_11' WHEN type LIKE '%SMALL%' THEN 'small' WHEN type LIKE 'ECONOMY%' THEN 'economy' WHEN size < 5 THEN 'tiny'
  WHEN size > 45 THEN 'huge' WHEN brand LIKE '%3' THEN 'third' WHEN brand LIKE '%2' THEN 'second' ELSE 'other' END AS class FROM genes""")
 def _(r):
     t, b, s = F.col("type"), F.col("brand"), F.col("size")
-    cases = [(t.contains("STEEL") & (s > 25), "steel_large"), (t.contains("STEEL"), "steel"), (t.startswith("PROMO"), "promo"), (t.contains("BRASS") & (b == "Brand#11"), "brass_11"), (t.contains("BRASS"), "brass"), (t.startswith("ECONOMY"), "economy"), (s < 5, "tiny"), (s > 45, "huge"), (b.endswith("3"), "third"), (b.endswith("2"), "second")]
+    cases = [(t.contains("LARGE") & (s > 25), "large_wide"), (t.contains("LARGE"), "large"), (t.startswith("PROMO"), "promo"), (t.contains("SMALL") & (b == "Brand#11"), "small_11"), (t.contains("SMALL"), "small"), (t.startswith("ECONOMY"), "economy"), (s < 5, "tiny"), (s > 45, "huge"), (b.endswith("3"), "third"), (b.endswith("2"), "second")]
     return r.genes().select("gene_index", scalar.first_match(cases, "other").alias("class"))
 
 
@@ -182,9 +182,9 @@ def _(r):
     return d.select(*joins.PAIR, scalar.first_match([(t & v, "both"), (v, "drug_only"), (t, "assoc_only")], "neither").alias("class"))
 
 
-@query("p08_formula", "genes", "SELECT gene_index, CASE WHEN contains(coalesce(type, ''), 'STEEL') THEN 'metal' WHEN coalesce(trim(brand), '') <> '' THEN 'branded' ELSE 'none' END AS evidence, coalesce(size, 0) AS size FROM genes")
+@query("p08_formula", "genes", "SELECT gene_index, CASE WHEN contains(coalesce(type, ''), 'LARGE') THEN 'large' WHEN coalesce(trim(brand), '') <> '' THEN 'branded' ELSE 'none' END AS evidence, coalesce(size, 0) AS size FROM genes")
 def _(r):
-    kind = F.when(~scalar.blank(F.col("type")) & F.col("type").contains("STEEL"), "metal").when(~scalar.blank(F.col("brand")), "branded").otherwise("none")
+    kind = F.when(~scalar.blank(F.col("type")) & F.col("type").contains("LARGE"), "large").when(~scalar.blank(F.col("brand")), "branded").otherwise("none")
     return r.genes().select("gene_index", kind.alias("evidence"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
@@ -391,11 +391,11 @@ def _(r):
     return joins.theta_pairs(r.diseases(), "family_id", "disease")
 
 
-@query("j13_three_hops", "sparse_ppi pathway", """
-SELECT a.x_index AS g, p.term_index AS term, count(*) AS n FROM sparse_ppi a JOIN sparse_ppi b ON a.y_index = b.x_index JOIN pathway p ON b.y_index = p.gene_index WHERE a.x_index <> b.y_index GROUP BY 1, 2""")
+@query("j13_three_hops", "ppi pathway", """
+SELECT a.x_index AS g, p.term_index AS term, count(*) AS n FROM ppi a JOIN ppi b ON a.y_index = b.x_index JOIN pathway p ON b.y_index = p.gene_index WHERE a.x_index <> b.y_index GROUP BY 1, 2""")
 def _(r):
     # Summed before the join to the terms: the middle table holds pairs, not paths.
-    a, b = r.sparse_ppi().select(F.col("x_index").alias("g"), F.col("y_index").alias("m")), r.sparse_ppi().select(F.col("x_index").alias("m"), F.col("y_index").alias("h"))
+    a, b = r.ppi().select(F.col("x_index").alias("g"), F.col("y_index").alias("m")), r.ppi().select(F.col("x_index").alias("m"), F.col("y_index").alias("h"))
     two = a.join(b, "m").where("g <> h").groupBy("g", "h").agg(F.count("*").alias("c"))
     return two.join(r.pathway().withColumnRenamed("gene_index", "h"), "h").groupBy("g", F.col("term_index").alias("term")).agg(F.sum("c").alias("n"))
 
@@ -757,10 +757,10 @@ def _(r):
     return rounded(r.scored().select(*joins.PAIR, stats.inverse_power(n).alias("w"), F.exp(-n.cast("double")).alias("kernel"), (1 / F.ln(n + 1)).alias("aa"), stats.ratio(F.col("proba"), F.col("qty") - 1).alias("guarded")), "w", "kernel", "aa", "guarded")
 
 
-@query("f_keyword_class", "", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'steel|tin', 'i') THEN 'hard' WHEN regexp_matches(p_type, 'copper|nickel', 'i') THEN 'soft' ELSE 'other' END AS area, regexp_matches(p_brand, '^(Brand#11|Brand#23)$') AS picked FROM part")
+@query("f_keyword_class", "", "SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'larg|medi', 'i') THEN 'hard' WHEN regexp_matches(p_type, 'small|econ', 'i') THEN 'soft' ELSE 'other' END AS area, regexp_matches(p_brand, '^(Brand#11|Brand#23)$') AS picked FROM part")
 def _(r):
     t = F.col("p_type")
-    return r.table("part").select("p_partkey", scalar.first_match([(t.rlike("(?i)steel|tin"), "hard"), (t.rlike("(?i)copper|nickel"), "soft")], "other").alias("area"), F.col("p_brand").rlike("^(Brand#11|Brand#23)$").alias("picked"))
+    return r.table("part").select("p_partkey", scalar.first_match([(t.rlike("(?i)larg|medi"), "hard"), (t.rlike("(?i)small|econ"), "soft")], "other").alias("area"), F.col("p_brand").rlike("^(Brand#11|Brand#23)$").alias("picked"))
 
 
 @query("f_quote_check", "", "SELECT doc_id, contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(text, 5, 30), '\\s+', ' ', 'g')))) AS quoted FROM documents")

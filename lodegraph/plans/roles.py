@@ -14,7 +14,6 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "truth": ((), "SELECT DISTINCT l_suppkey AS disease_index, l_partkey AS gene_index FROM lineitem WHERE l_discount >= 0.09"),
     "assoc": ((), "SELECT DISTINCT l_partkey AS gene_index, o_custkey AS disease_index FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"),
     "ppi": ((), "SELECT DISTINCT a.l_partkey AS x_index, b.l_partkey AS y_index FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"),
-    "sparse_ppi": (("ppi",), "SELECT x_index, y_index FROM ppi WHERE (x_index + y_index) % 97 = 0"),
     "pathway": ((), "SELECT DISTINCT l_partkey AS gene_index, l_suppkey AS term_index FROM lineitem WHERE l_linenumber = 1"),
     "drug_disease": ((), """SELECT DISTINCT o_custkey % 200 AS drug, l_suppkey AS disease_index,
   CASE WHEN o_orderpriority LIKE '1%' THEN 'Indication' WHEN o_orderpriority LIKE '2%' THEN 'contraindication' ELSE 'drug_investigated_for' END AS relation
@@ -76,9 +75,6 @@ class Roles:
         a, b = li.withColumnRenamed("l_partkey", "x_index"), li.withColumnRenamed("l_partkey", "y_index")
         return a.join(b, "l_orderkey").where("x_index <> y_index").select("x_index", "y_index").distinct()
 
-    def sparse_ppi(self) -> DataFrame:
-        return self.ppi().where("(x_index + y_index) % 97 = 0")
-
     def pathway(self) -> DataFrame:
         return self.table("lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("gene_index"), F.col("l_suppkey").alias("term_index")).distinct()
 

@@ -223,6 +223,95 @@ def test_table_cache_follows_versions(spark, tmp_path):
     assert list(cache.held) == [path + "2"]
 
 
+def _random_graph(spark, nodes=40, edges=90, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    pairs = {tuple(sorted(rng.sample(range(nodes), 2))) for _ in range(edges)}
+    both = sorted({(a * 10, b * 10) for a, b in pairs} | {(b * 10, a * 10) for a, b in pairs})
+    return both, spark.createDataFrame(both, "x_index long, y_index long")
+
+
+def _plain_walk(edges, seeds, alpha=0.85, rounds=2000):
+    nodes = sorted({x for x, _ in edges})
+    degree = {n: sum(x == n for x, _ in edges) for n in nodes}
+    seeds = [s for s in seeds if s in degree]
+    score = {n: 1 / len(nodes) for n in nodes}
+    for _ in range(rounds if seeds else 0):
+        new = {n: (1 - alpha) * (n in seeds) / len(seeds) for n in nodes}
+        for x, y in edges:
+            new[y] += alpha * score[x] / degree[x]
+        score = new
+    return score if seeds else {}
+
+
+@pytest.mark.parametrize("local_edges", [1 << 25, 0])
+def test_random_walk_is_the_plain_one(spark, local_edges):
+    edges, frame = _random_graph(spark)
+    seeds = [(1, 0), (1, 10), (2, 390), (2, 5), (3, 7), (4, edges[0][0])]
+    got = features.random_walk(frame, spark.createDataFrame(seeds, "walk_id long, node long"), local_edges=local_edges).collect()
+    for walk in (1, 2, 3, 4):
+        want = _plain_walk(edges, [n for w, n in seeds if w == walk], rounds=400)
+        have = {r["node"]: r["score"] for r in got if r["walk_id"] == walk}
+        assert all(abs(have.get(n, 0) - v) < 1e-6 for n, v in want.items()) and bool(have) == bool(want)
+
+
+def test_held_out_walk_leaves_a_seed_s_fold_out(spark):
+    edges, frame = _random_graph(spark, seed=5)
+    genes = sorted({x for x, _ in edges})[:12]
+    assoc = spark.createDataFrame([(g, 7) for g in genes] + [(genes[0], 8)], "gene_index long, disease_index long")
+    fold = {r[0]: r[1] for r in assoc.where("disease_index = 7").selectExpr("gene_index", "pmod(xxhash64(gene_index, disease_index), 3)").collect()}
+    got = {r["gene_index"]: r["score"] for r in features.held_out_walk(frame, assoc, folds=3, gate=5).collect()}
+    every, n = _plain_walk(edges, genes, rounds=400), len({x for x, _ in edges})
+    parts = {f: _plain_walk(edges, [g for g in genes if fold[g] != f], rounds=400) for f in set(fold.values())}
+    want = {g: parts[fold[g]][g] for g in genes} | {x: v for x, v in every.items() if x not in fold and v > 1 / n}
+    assert set(got) == set(want) and all(abs(got[g] - v) < 1e-6 for g, v in want.items())
+
+
+@pytest.mark.parametrize("local_edges", [1 << 25, 0])
+def test_proximity_is_the_plain_search(spark, local_edges):
+    import math
+
+    edges, frame = _random_graph(spark, nodes=60, edges=80, seed=8)
+    nodes = sorted({x for x, _ in edges})
+    modules = {1: nodes[:9], 2: nodes[20:26] + [5], 3: nodes[:2]}
+    assoc = spark.createDataFrame([(g, d) for d, gs in modules.items() for g in gs], "gene_index long, disease_index long")
+    near = {}
+    for a in nodes:
+        level, dist = {a}, {a: 0}
+        for hop in (1, 2, 3):
+            level = {y for x, y in edges if x in level} - set(dist)
+            dist |= {x: hop for x in level}
+        near[a] = dist
+    want = {}
+    for d, gs in modules.items():
+        if len(gs) < 5 or len([g for g in gs if g in near]) < 5:
+            continue
+        for x in nodes:
+            steps = [near[g][x] for g in gs if g in near and near[g].get(x, 0) > 0]
+            if steps:
+                want[x, d] = (min(steps), sum(steps) / len(steps), sum(math.exp(-s) for s in steps), len(steps))
+    got = {(r["gene_index"], r["disease_index"]): tuple(r[2:]) for r in features.proximity(frame, assoc, gate=3, local_edges=local_edges).collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
+
+
+def test_running_totals_and_quantiles_need_no_single_task(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.choice([None, rng.random(), rng.randrange(9) / 8]) for _ in range(700)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(5)
+    have = sorted(v for v in values if v is not None)
+    upto = {r["value"]: r["upto"] for r in ranking.value_counts_upto(frame, "v").collect()}
+    assert upto == {v: sum(x <= v for x in have) for v in set(have)}
+    shares = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = ranking.quantiles(frame, "v", shares).first()["e"]
+    want = frame.selectExpr(f"percentile(v, array({', '.join(map(str, shares))}))").first()[0]
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got, want, strict=True))
+    empty = ranking.percentile_bins(frame.where("false"), "v", 4)
+    assert empty.count() == 0 and ranking.percentile_bins(frame.where("v IS NULL"), "v", 4).where("bin IS NOT NULL").count() == 0
+
+
 def test_llm_is_imported_by_nothing_else():
     import ast
     import pathlib
