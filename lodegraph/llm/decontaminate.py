@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from .common import append_columns, col, texts_of
 
-#: Bytes of benchmark text that one broadcast block may hold. A larger benchmark is scanned in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text of a broadcast block, about, and bytes of its index, at most: a block whose measured index is larger is
+#: split again. A larger benchmark is scanned in several blocks.
+BLOCK_BYTES, INDEX_BYTES = 16 << 20, 192 << 20
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: A-Z become a-z; bytes of words stay, all others are blanks. Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _TABLE = bytes(b if b >= 0x80 or b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -41,21 +42,43 @@ class Vocabulary(dict):
 
 
 class Index:
-    """The n-gram windows of some items: by length, the sorted hashes and for each hash its windows and their items."""
+    """The n-gram windows of some items in flat arrays: by length, the sorted hashes of distinct windows, where each stands in the
+    items' words, and which items have it."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
-        self.vocabulary = Vocabulary()
-        windows: dict[tuple[int, ...], set] = {}
+        self.vocabulary, self.items, words, at = Vocabulary(), [], [], 0
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)), np.int32)
             size = min(n, len(ids))
-            for i in range(len(ids) - size + 1) if size else ():
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        by_length: dict[int, dict[int, list]] = {}
-        for window, found in windows.items():
-            h = int(self.rolling(np.array(window, np.uint64), len(window))[0])
-            by_length.setdefault(len(window), {}).setdefault(h, []).append((np.array(window, np.int64), sorted(found, key=str)))
-        self.lengths = {k: (np.sort(np.fromiter(v, np.uint64, len(v))), v) for k, v in by_length.items()}
+            if not size:
+                continue
+            hashes = self.rolling(ids.astype(np.uint64), size)
+            # An item's repeated windows stand once.
+            first = np.unique(np.lib.stride_tricks.sliding_window_view(ids, size), axis=0, return_index=True)[1]
+            parts.setdefault(size, []).append((hashes[first], (first + at).astype(np.int64), np.full(len(first), len(self.items), np.int32)))
+            self.items.append(item)
+            words.append(ids)
+            at += len(ids)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.lengths = {}
+        for size, found in parts.items():
+            hashes, places, owners = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, places, owners = hashes[order], places[order], owners[order]
+            fresh = np.ones(len(hashes), bool)
+            for k in range(0, len(hashes) - 1, 1 << 16):
+                a, b = places[k : k + (1 << 16) + 1][:-1], places[k + 1 : k + (1 << 16) + 1]
+                alike = hashes[k : k + len(b)] == hashes[k + 1 : k + 1 + len(b)]
+                for j in range(size):
+                    alike &= self.words[a[: len(b)] + j] == self.words[b + j]
+                fresh[k + 1 : k + 1 + len(b)] = ~alike
+            start = np.flatnonzero(fresh)
+            self.lengths[size] = hashes[start], places[start], np.append(start, len(hashes)), owners
+
+    def nbytes(self) -> int:
+        """Bytes of the arrays and, about, of the vocabulary."""
+        return self.words.nbytes + sum(x.nbytes for arrays in self.lengths.values() for x in arrays) + sum(len(w) + 130 for w in self.vocabulary)
 
     @staticmethod
     def rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -72,23 +95,26 @@ class Index:
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         hit, items = np.zeros(len(ids), bool), set()
         unsigned = ids.astype(np.uint64)
-        for n, (hashes, windows) in self.lengths.items():
+        for n, (hashes, places, start, owners) in self.lengths.items():
             h = self.rolling(unsigned, n)
             at = np.searchsorted(hashes, h)
             at[at == len(hashes)] = 0
             for i in np.flatnonzero(hashes[at] == h).tolist():
-                for window, found in windows[int(h[i])]:
-                    if np.array_equal(window, ids[i : i + n]):
+                k = int(at[i])
+                while k < len(hashes) and hashes[k] == h[i]:
+                    if np.array_equal(self.words[places[k] : places[k] + n], ids[i : i + n]):
                         hit[i : i + n] = True
-                        items.update(found)
+                        items.update(self.items[x] for x in owners[start[k] : start[k + 1]].tolist())
+                    k += 1
         return hit, items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with n_words, n_hit, hit_mask (a bit for each word, most significant first) and hit_items (sorted).
 
-    The benchmark is collected in blocks of about ``block_bytes`` of text, as many as its measured size asks for, and the
-    documents pass all of them in one stage; masks and items of the blocks are united. Nothing is shuffled.
+    The benchmark is collected in blocks of about ``block_bytes`` of text, as many as its measured size asks for; a block whose
+    index comes out above ``index_bytes`` is split in two. Documents pass all blocks in one stage; masks and items of the
+    blocks are united. Nothing is shuffled.
     Null or empty text: no words, no hits. Items without words match nothing; items shorter than n words are one window.
     Items that share an id count once; an item whose id is null matches, but isn't listed. Columns with these names are replaced.
     """
@@ -97,16 +123,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     blocks = max(1, math.ceil(size / block_bytes))
     id_type = dict((f.name, f.dataType) for f in named.schema.fields)["item"]
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_mask", T.BinaryType()), T.StructField("hit_items", T.ArrayType(id_type))]
-    out, sc = docs.drop(*[f.name for f in fields]), docs.sparkSession.sparkContext
-    for k in range(blocks):
-        part = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k)
-        shared = sc.broadcast(Index([tuple(r) for r in part.toLocalIterator()], n))
-        out = _scan_block(out, shared, fields, text, id_type, first=k == 0)
+    out, sc, first = docs.drop(*[f.name for f in fields]), docs.sparkSession.sparkContext, True
+    waiting = [(blocks, k) for k in reversed(range(blocks))]
+    while waiting:
+        of, k = waiting.pop()
+        part = named if of == 1 else named.where(F.pmod(F.xxhash64("item", "body"), F.lit(of)) == k)
+        items = [tuple(r) for r in part.toLocalIterator()]
+        index = Index(items, n)
+        if index.nbytes() > index_bytes and len(items) > 1:
+            waiting += [(2 * of, k + of), (2 * of, k)]
+            continue
+        out = _scan_block(out, sc.broadcast(index), fields, text, id_type, first)
+        first = False
     return out
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it needs to be none of df's."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _scan_block(docs: DataFrame, shared, fields, text: str, id_type, first: bool) -> DataFrame:
-    previous = docs if first else docs.withColumnsRenamed({"hit_mask": "__mask", "hit_items": "__items"}).drop("n_words", "n_hit")
+    mask, items = (_free(docs, f"old_{x}") for x in ("mask", "items"))
+    previous = docs if first else docs.withColumnsRenamed({"hit_mask": mask, "hit_items": items}).drop("n_words", "n_hit")
 
     def make():
         from pyspark.sql.pandas.types import to_arrow_type
@@ -115,21 +157,21 @@ def _scan_block(docs: DataFrame, shared, fields, text: str, id_type, first: bool
 
         def step(batch):
             rows = []
-            old = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__mask", "__items")]
+            old = None if first else [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (mask, items)]
             for i, body in enumerate(texts_of(batch, text)):
-                hit, items = index.scan(body)
-                items.discard(None)
+                hit, found = index.scan(body)
+                found.discard(None)
                 if old:
                     hit |= np.unpackbits(np.frombuffer(old[0][i], np.uint8))[: len(hit)].astype(bool)
-                    items |= set(old[1][i])
-                rows.append((len(hit), int(hit.sum()), np.packbits(hit).tobytes(), sorted(items)))
+                    found |= set(old[1][i])
+                rows.append((len(hit), int(hit.sum()), np.packbits(hit).tobytes(), sorted(found)))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(kind)), strict=True)]
 
         return step
 
     out = append_columns(previous, fields, make)
-    return out if first else out.drop("__mask", "__items")
+    return out if first else out.drop(mask, items)
 
 
 def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
@@ -163,19 +205,20 @@ def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
         return step
 
     order = scanned.columns
-    return append_columns(scanned.withColumnRenamed(text, "__text"), [T.StructField(text, T.StringType())], lambda: _renamed(make(), text)).select(*[col(c) for c in order])
-
-
-def _renamed(step, text: str):
-    return lambda batch: step(batch.rename_columns([text if c == "__text" else c for c in batch.schema.names]))
+    old = _free(scanned, "old_text")
+    renamed = lambda step: lambda batch: step(batch.rename_columns([text if c == old else c for c in batch.schema.names]))
+    return append_columns(scanned.withColumnRenamed(text, old), [T.StructField(text, T.StringType())], lambda: renamed(make())).select(*[col(c) for c in order])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", **options) -> DataFrame:
-    """docs without contaminated documents, or (mode "spans") without the contaminated spans of their texts."""
-    names = ["n_words", "n_hit", "hit_mask", "hit_items"]
-    found = scan(docs, benchmark, **options)
-    if mode == "documents":
-        return found.where("n_hit = 0").drop(*names)
-    if mode != "spans":
+    """docs without contaminated documents, or (mode "spans") without the contaminated spans of their texts.
+
+    All columns stay, whatever their names.
+    """
+    if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode: {mode}")
-    return remove_spans(found, options.get("text", "text")).drop(*names)
+    text = options.pop("text", "text")
+    packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(text).alias("text"))
+    found = scan(packed, benchmark, **options)
+    found = found.where("n_hit = 0") if mode == "documents" else remove_spans(found)
+    return found.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
