@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of one URL and time slice, on average over the table, that one window holds.
+#: Rows of a slice of the table in order of URL and time, on average; a window holds one URL's rows of one slice.
 SLICE_ROWS = 50_000
 #: Headers of a 304 answer that replace those of the stored response (the fields such an answer carries).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -38,28 +38,26 @@ def etag_opaque(etag: Column) -> Column:
 def as_of_response(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """records with ``prior``: (ts, record_id, etag, last_modified, status, headers) of the latest full response before each.
 
-    A full response is of type "response" with status 200. Earlier: by (ts, record_id). A hot URL's rows are cut by time into
-    slices whose bounds are quantiles of the whole table, so each window holds one URL's rows of one slice; what a slice's start
-    inherits comes from a small table with one row per URL and slice. Records with no ts are earlier than all others.
+    A full response is of type "response" with status 200. Earlier: by (ts, record_id); equal ones aren't earlier than each
+    other's rows but stand in some order. The table is range-partitioned by URL and time into slices and written, so a hot URL
+    takes many slices; what a slice's first rows inherit comes from the URLs that span slices, at most two a slice. Records with
+    no ts are earlier than all others.
     """
-    n = records.count()
-    cuts = []
-    if n > slice_rows:
-        parts = -(-n // slice_rows)
-        cuts = sorted(set(records.approxQuantile("ts", [i / parts for i in range(1, parts)], 0.1 / parts)))
-    bounds = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    sliced = records.withColumn("slice", F.size(F.filter(bounds, lambda b: b < F.coalesce("ts", F.lit(-(2**62))))))
+    spark = records.sparkSession
+    order = [F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
+    parts = max(-(-records.count() // slice_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sliced = materialize(records.repartitionByRange(parts, F.col("canonical"), *order).withColumn("slice", F.spark_partition_id()))
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
     this = F.when(full, F.struct("ts", "record_id", "etag", "last_modified", "status", "headers"))
-    order = [F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
     inside = Window.partitionBy("canonical", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = sliced.withColumn("near", F.last(this, ignorenulls=True).over(inside))
-    ends = sliced.where(full).groupBy("canonical", "slice").agg(F.max(F.struct("ts", "record_id", "etag", "last_modified", "status", F.to_json("headers").alias("headers"))).alias("last"))
-    if not cuts:
-        return near.withColumn("prior", F.col("near")).drop("near", "slice")
-    spine = sliced.select("canonical", "slice").distinct().join(ends, ["canonical", "slice"], "left")
+    spans = sliced.groupBy("canonical").agg(F.min("slice").alias("s0"), F.max("slice").alias("s1")).where("s0 < s1").select("canonical")
+    spanning = sliced.join(spans, "canonical", "left_semi")
+    # The latest of a slice, by an order that a null ts comes first in.
+    latest = F.struct(F.col("ts").isNotNull().alias("dated"), "ts", F.col("record_id").isNotNull().alias("named"), "record_id", "etag", "last_modified", "status", F.to_json("headers").alias("headers"))
+    ends = spanning.groupBy("canonical", "slice").agg(F.max(F.when(full, latest)).alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spine.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried is not null")
+    carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("carried IS NOT NULL")
     carried = carried.select("canonical", "slice", F.struct("carried.ts", "carried.record_id", "carried.etag", "carried.last_modified", "carried.status", F.from_json("carried.headers", "map<string,string>").alias("headers")).alias("carried"))
     return near.join(carried, ["canonical", "slice"], "left").withColumn("prior", F.coalesce("near", "carried")).drop("near", "carried", "slice")
 
