@@ -12,8 +12,9 @@ from .common import append_columns, col, connected_components, materialize, text
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: Fingerprints of one tile; a larger population class is cut into several tiles.
-TILE = 4096
+#: Fingerprints of one tile; a larger population class is cut into several tiles, but at most so many: tiles grow with the table
+#: then, and the copies of a fingerprint don't.
+TILE, MOST_CUTS = 4096, 16
 #: Documents that name the common shingles: one in SAMPLE_STEP, all if there are few. A shingle of COMMON of them is common.
 SAMPLE_STEP, SAMPLE_ROWS, COMMON, MOST_COMMON = 64, 4000, 3, 1 << 18
 #: Rows of documents in question that may be broadcast to the second scan; beyond it that join shuffles.
@@ -109,7 +110,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     base = prints.select("fp", *[word(k).alias(f"p{k}") for k in range(4)])
     number = lambda *p: ((p[0] * 17 + p[1]) * 17 + p[2]) * 17 + p[3]
     tiled = base.withColumn("v", number(*[F.col(f"p{k}") for k in range(4)]))
-    sizes = F.broadcast(tiled.groupBy("v").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("cuts")))
+    sizes = F.broadcast(tiled.groupBy("v").agg(F.least(F.ceil(F.count("*") / F.lit(tile)), F.lit(MOST_CUTS)).cast("int").alias("cuts")))
     cut = tiled.join(sizes, "v").withColumn("cut", F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int"))
     near = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in _deltas(radius)])
     inside = lambda x, k: (x[f"d{k}"] + F.col(f"p{k}")).between(0, 16)
@@ -255,13 +256,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id, of equal ids any one text.
+    """docs with one row of each component: the one of the smallest doc_id; of rows of that id the one of the smallest text, then of
+    the smallest other columns (of equal columns that have no order, any one).
 
-    Rows whose id is null are kept: nothing tells them apart.
+    Rows whose id is null are kept: nothing tells them apart. An empty table gives an empty one.
     """
     kept = components(docs, doc_id, text, radius, n, least).where("doc_id = component_id").select("doc_id").distinct()
     first = docs.join(kept.withColumnRenamed("doc_id", "__kept"), col(doc_id) == F.col("__kept"), "left_semi")
     doubled = first.groupBy(col(doc_id).alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1")
     single = first.join(doubled, col(doc_id) == F.col("__id"), "left_anti")
-    several = first.join(doubled, col(doc_id) == F.col("__id"), "left_semi").dropDuplicates([doc_id])
+    ordered = [text, *[f.name for f in docs.schema.fields if f.name != text and not isinstance(f.dataType, T.MapType | T.VariantType)]]
+    least_row = F.min_by(F.struct(*[col(c).alias(c) for c in docs.columns]), F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(ordered)]))
+    several = first.join(doubled, col(doc_id) == F.col("__id"), "left_semi").groupBy(col(doc_id).alias("__id")).agg(least_row.alias("__row")).select("__row.*")
     return single.unionByName(several).unionByName(docs.where(col(doc_id).isNull()))
