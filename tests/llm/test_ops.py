@@ -87,6 +87,21 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.scan(docs_frame(spark, []), none).count() == 0
 
 
+def test_a_benchmark_of_several_measured_blocks(spark):
+    items = [(i, words(i, 60, 5000)) for i in range(90)] + [(90, None), (91, "")]
+    texts = [words(1000 + i, 80, 5000) + " " + items[i][1] for i in range(0, 90, 9)] + [words(2000 + i, 80, 5000) for i in range(5)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, hit_mask long, __mask string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.Index([x for x in items], 10)
+    got = decontaminate.scan(frame, bench, index_bytes=whole.nbytes() // 3)
+    for r in got.collect():
+        hit, found = whole.scan(texts[r["doc_id"]])
+        assert (r["n_hit"], r["hit_items"], r["__mask"]) == (int(hit.sum()), sorted(found), "x")
+    assert sum(bool(r["hit_items"]) for r in got.collect()) == 10
+    # Flat arrays: some tens of bytes a word, whatever the item.
+    assert whole.nbytes() < 300 * sum(len(t.split()) for _, t in items if t)
+
+
 # 2. Byte-level BPE.
 
 
@@ -109,6 +124,14 @@ def test_pieces_join_to_the_text():
         assert "".join(bpe.split_safely(text, 64)) == text
 
 
+def test_bpe_of_odd_tables(spark):
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = spark.createDataFrame([(1, "a b", "x", 5)] * 2 + [(None, None, None, None)], "doc_id long, text string, token_ids string, decoded long")
+    got = bpe.decode(bpe.encode(rows, ranks, pattern), ranks, pattern).collect()
+    assert [bytes(r["decoded"]) for r in sorted(got, key=lambda r: r["doc_id"] or 0)] == [b"", b"a b", b"a b"]
+    assert bpe.decode(bpe.encode(rows.limit(0), ranks, pattern), ranks, pattern).count() == 0
+
+
 # 3. Line dedup.
 
 
@@ -134,15 +157,15 @@ def prose(seed, n, vocabulary=400):
 
 def linked(x, y):
     """Whether two normalised lines share a key and are alike enough, told plainly."""
-    return x[1] & y[1] and (x[0] ^ y[0]).bit_count() <= linededup.RADIUS and any((x[0] ^ y[0]) >> 8 * j & 255 == 0 for j in range(8))
+    return x[1] & y[1] and len(x[2] & y[2]) >= linededup.OVERLAP * max(len(x[2]), len(y[2])) and (x[0] ^ y[0]).bit_count() <= linededup.RADIUS and any((x[0] ^ y[0]) >> 8 * j & 255 == 0 for j in range(8))
 
 
 def plain_keys(body):
     ws = list(body) if regex.match(r"\p{Han}", body) else body.split(" ")
-    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(ws)]
     fp = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     bits = {("bits", a, b, fp >> 21 * a & 2097151, fp >> 21 * b & 2097151) for a in range(3) for b in range(a)}
-    return fp, bits | set(regex.findall(linededup._BLOCK, " ".join(ws)))
+    return fp, bits | set(regex.findall(linededup._BLOCK, " ".join(ws))), set(ws)
 
 
 def plain_line_dedup(texts, candidates=True):
@@ -382,6 +405,28 @@ def test_revisits(spark, slice_rows):
     assert warc.resolve_revisits(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_revisits_of_a_hot_url_ties_and_repeats(spark):
+    """One URL with most rows, equal times, repeated rows, null times and a column that clashes, against a plain search."""
+    rng = random.Random(7)
+    kind = "record_id long, url string, ts long, warc_type string, status int, etag string, last_modified string, headers map<string,string>, slice long, canonical string"
+    rows = []
+    for i in range(600):
+        url = "http://hot.com/" if rng.random() < 0.7 else f"http://h{i % 5}.com/"
+        kind_ = "revisit" if rng.random() < 0.4 else "response"
+        status = 304 if kind_ == "revisit" else rng.choice([200, 200, 404])
+        rows.append((i, url, rng.choice([None, *range(40)]), kind_, status, f'"{rng.randrange(3)}"', None, {"k": str(i)}, 1, "c"))
+    rows += rows[:20]
+    got = warc.resolve_revisits(spark.createDataFrame(rows, kind), 30).collect()
+    key = lambda r: (r[2] is not None, r[2] or 0, r[0])
+    want = []
+    for r in rows:
+        if r[3] == "revisit":
+            earlier = [p for p in rows if p[1] == r[1] and p[3] == "response" and p[4] == 200 and key(p) < key(r)]
+            best = max(earlier, key=key, default=None)
+            want.append((r[0], "no_response" if not best else "resolved" if best[5] == r[5] else "mismatch", best[0] if best and best[5] == r[5] else None))
+    assert sorted(map(str, want)) == sorted(str((r["record_id"], r["outcome"], r["response_id"])) for r in got)
+
+
 def test_payload_comes_with_the_response(spark):
     resolved = spark.createDataFrame([(2, 1), (3, None)], "record_id long, response_id long")
     got = warc.with_payload(resolved, spark.createDataFrame([(1, "body")], "record_id long, payload string")).collect()
@@ -428,6 +473,16 @@ def test_counts_are_the_library_s(spark):
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def test_counts_of_odd_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(1, "a b", 5, 6)] * 3 + [(None, None, None, None), (2, "<|endoftext|> x" * 9000, 7, 8)], "doc_id long, text string, n_tokens long, piece long")
+    got = tokencount.count_tokens(rows, path)
+    assert got.count() == 5 and sorted(got.columns) == sorted(rows.columns)
+    assert sorted(r["piece"] or 0 for r in got.collect()) == [0, 6, 6, 6, 8]
+    assert len({r["n_tokens"] for r in got.where("doc_id = 1").collect()}) == 1 and got.where("text IS NULL").first()["n_tokens"] == 0
+    assert tokencount.count_tokens(rows.limit(0), path).count() == 0
+
+
 # 8. HTML.
 
 
@@ -691,6 +746,36 @@ def test_pipeline_keeps_columns_and_takes_effect(spark):
     assert docs.select("doc_id").distinct().count() == docs.count()
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_odd_rows(spark, number):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing names, and an empty table."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    kind = DOC + ", n_removed long, score double, lang_pred string, hit_items long, simhash long, k1 long, row long, token_ids string"
+    extra = (1, 0.5, "x", 2, 3, 4, 5, "t")
+    base = [words(i, 40) for i in range(6)]
+    rows = [(i, t, "en", "s", 1, *extra) for i, t in enumerate([*base, None, "", " \n ", "word " * 40000])]
+    rows += [(3, base[3], "en", "s", 1, *extra), (4, words(99, 50), None, None, None, *extra), (None, words(98, 50), "en", "s", 1, *extra), (None, None, *[None] * 11)]
+    frame = spark.createDataFrame(rows, kind)
+    out = stage(spark, frame, DATA)
+    got = out.collect()
+    if name == "byte_bpe":
+        assert len(got) == len(rows)
+        assert all(r["round_trip"] for r in got)
+    else:
+        assert out.columns == frame.columns
+        assert {r["n_removed"] for r in got} <= {1, None} and {r["token_ids"] for r in got} <= {"t", None}
+        assert base[0] in {r["text"] for r in got} or name == "language_id"
+    assert stage(spark, frame.limit(0), DATA).count() == 0
+
+
+def test_near_dedup_stage_keeps_one_text_of_an_id_and_says_which(spark):
+    rows = [(1, words(1, 30), 5), (1, words(2, 30), 4), (1, words(2, 30), 3), (2, words(3, 30), 1)]
+    kept = sorted((r["doc_id"], r["text"], r["x"]) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, x long"), n=5, least=0.8).collect())
+    assert kept == sorted([min((i, t, x) for i, t, x in rows if i == 1), (2, words(3, 30), 1)])
+
+
 def test_digests_of_nothing():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
