@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, col, connected_components, materialize, texts_of
+from .common import append_columns, col, connected_components, linked_groups, materialize, release, texts_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -212,21 +212,31 @@ def _with_prefix(base: DataFrame, n: int, least: float) -> DataFrame:
 def _similar_links(base: DataFrame, prints: DataFrame, n: int, least: float) -> DataFrame:
     """(a, b): fingerprints of all pairs of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    Every such pair shares a shingle of both prefixes; those pairs are candidates and the whole sets decide. Equal sets
-    count once. base: row, text; prints: row, simhash, set_key, size, prefix.
+    Every such pair shares a shingle of both prefixes; those pairs are candidates and the whole sets decide. The links'
+    components are those of all such pairs; a dense group isn't spelled out. Equal sets count once. base: row, text; prints: row, simhash, set_key, size, prefix.
     """
     classes = prints.where("size > 0").groupBy("set_key").agg(F.min("simhash").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
-    tokens = classes.select(F.explode("prefix").alias("token"), "set_key", "fp", "size")
-    left, right = (tokens.select("token", F.col("set_key").alias(f"{x}k"), F.col("fp").alias(f"{x}f"), F.col("size").alias(f"{x}s")) for x in "xy")
-    near = (F.col("xf") < F.col("yf")) & (F.least("xs", "ys") >= F.greatest("xs", "ys") * least - 1e-9)
-    pairs = materialize(left.join(right.hint("merge"), "token").where(near).select("xk", "yk", "xf", "yf").distinct())
-    asked = pairs.select(F.col("xk").alias("set_key")).unionAll(pairs.select("yk")).distinct()
-    places = materialize(asked.join(prints.select("set_key", "row"), "set_key").groupBy("set_key").agg(F.min("row").alias("row")))
-    rows = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    sets = materialize(_with_sets(base.join(rows, "row").dropDuplicates(["row"]).select("set_key", "text"), n).select("set_key", "set"))
-    both = pairs.join(sets.select(F.col("set_key").alias("xk"), F.col("set").alias("x")), "xk").join(sets.select(F.col("set_key").alias("yk"), F.col("set").alias("y")), "yk")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select(F.col("xf").alias("a"), F.col("yf").alias("b"))
+    sizes = materialize(classes.select("set_key", "fp", "size"))
+    left, right = (sizes.select(F.col("set_key").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select("b")).distinct()
+        places = materialize(asked.join(prints.select("set_key", "row"), "set_key").groupBy("set_key").agg(F.min("row").alias("row")))
+        rows = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        sets = materialize(_with_sets(base.join(rows, "row").dropDuplicates(["row"]).select("set_key", "text"), n).select("set_key", "set"))
+        both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("set").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        found = materialize(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+        release(places, sets)
+        return found
+
+    edges = linked_groups(classes.select(F.explode("prefix").alias("key"), F.col("set_key").alias("node")), near, verify)
+    named = [sizes.select(F.col("set_key").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab"]
+    return edges.join(named[0], "a").join(named[1], "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:

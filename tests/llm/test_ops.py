@@ -12,7 +12,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 xxhash = pytest.importorskip("xxhash")
 
 from lodegraph.llm import bpe, decontaminate, html, langid, linededup, pii, queries, simhash, tokencount, topk, warc  # noqa: E402
-from lodegraph.llm.common import connected_components  # noqa: E402
+from lodegraph.llm.common import _ends, connected_components, linked_groups  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,6 +47,40 @@ def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_linked_groups_reach_what_all_pairs_reach(spark, crowded, monkeypatch):
+    """Random keys and a random relation that isn't transitive: components are those of all pairs that share a key and are related."""
+    import lodegraph.llm.common as common
+
+    monkeypatch.setattr(common, "CROWDED", 0 if crowded else 64)
+    rng = random.Random(11)
+    rows = [(rng.randrange(12), node) for node in range(120) for _ in range(2)]
+    related = {(a, b) for a in range(120) for b in range(a + 1, 120) if rng.random() < 0.03 and a % 3 == b % 3}
+    frame = spark.createDataFrame(sorted(related), "a long, b long")
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return common.materialize(pairs.join(frame, ["a", "b"]))
+
+    near = lambda pairs: pairs.where("a % 3 = b % 3")
+    split = lambda r: r.selectExpr("key * 3 + node % 3 AS key", "node")
+    got = dict(connected_components(linked_groups(spark.createDataFrame(rows, "key long, node long"), near, verify, split)).collect())
+    keys = {n: {k for k, m in rows if m == n} for n in range(120)}
+    label = list(range(120))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in sorted(related):
+        if keys[a] & keys[b]:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    assert {n: r for n, r in got.items() if n != r} == {n: find(n) for n in range(120) if find(n) != n}
+
+
 # 1. Decontamination.
 
 
@@ -276,8 +310,8 @@ def test_a_dense_group_of_lines_costs_its_rows_and_no_pairs(spark):
     units = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "unit long, class long, body string")
     roots = {r["root"] for r in linededup.similar_classes(units, units).collect()}
     assert roots == {0}
-    keys = linededup._keys(units, linededup.fingerprints(units))
-    assert linededup._ends(keys, "key").count() < 10 * 2 * len(texts)
+    keys = linededup._keys(units, linededup.fingerprints(units)).withColumnRenamed("class", "node")
+    assert _ends(keys).count() < 10 * 2 * len(texts)
 
 
 def test_near_lines_are_found(spark):
