@@ -77,11 +77,18 @@ def capped_list(values: Column, cap: int = 5, sep: str = "; ") -> Column:
     return F.when(values.isNotNull(), F.concat(F.array_join(F.slice(ordered, 1, cap), sep), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise("")))
 
 
-def row_fingerprint(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """(n, fingerprint): an order-independent hash of all rows; ``digits`` rounds doubles first."""
-    kinds = dict(df.dtypes)
-    cols = [F.round(F.col(c), digits) if digits is not None and kinds[c] == "double" else F.col(c) for c in sorted(df.columns)]
-    return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*cols)).alias("fingerprint"))
+def row_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, fingerprint): an order-independent hash of all rows: the first 60 bits of each row's SHA-256, joined by exclusive or.
+
+    A row is its columns in the given order as text, joined by "|"; whoever has doubles rounds them to whole numbers first.
+    """
+    row = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
+    return df.agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("long")).alias("fingerprint"))
+
+
+def month_path(at: Column) -> Column:
+    """The folder of a month, "2026/01"."""
+    return F.date_format(at, "yyyy/MM")
 
 
 def normalise_space(c: Column) -> Column:

@@ -14,9 +14,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodegraph-scratch"
 
 
+def _at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def scratch_path(spark: SparkSession, kind: str = "part") -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. Where the cluster names none, it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if "lodegraph-scratch" in path:
+        at, fs = _at(spark, path)
+        fs.mkdirs(at.getParent())
+        fs.deleteOnExit(at.getParent())
+    return path
 
 
 #: Spark's own switch to delete the shuffle files of a query once it has ended.
@@ -43,9 +54,8 @@ def written(df: DataFrame) -> DataFrame:
 def release(*copies: DataFrame) -> None:
     """Delete the Parquet copies that ``written`` made of these; nothing may read them afterwards."""
     for copy in copies:
-        spark = copy.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(copy._written_to)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path, fs = _at(copy.sparkSession, copy._written_to)
+        fs.delete(path, True)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

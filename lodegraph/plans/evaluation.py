@@ -321,11 +321,6 @@ def _(r):
 # The read layer.
 
 
-@query("api_health")
-def _(r):
-    return serving.health(r.spark)
-
-
 @query("api_candidate_diseases", "scored", "SELECT disease_index, count(*) AS n_candidates FROM scored WHERE is_target = 0 GROUP BY 1")
 def _(r):
     return serving.candidate_diseases(r.scored().where("is_target = 0"))
@@ -380,14 +375,6 @@ def _(r):
     return rounded(serving.family(_overlap(r), 4), "mean_jaccard", "max_jaccard")
 
 
-@query("api_reviews")
-def _(r):
-    path = _scratch(r, "reviews")
-    for i, verdict in enumerate(["open", "accept"]):
-        serving.post_review(r.spark, path, {"disease_index": 1, "gene_index": 2, "verdict": verdict, "note": "", "at": f"2026-01-0{i + 1}T00:00:00Z"})
-    return serving.reviews(r.spark, path).select("disease_index", "gene_index", "verdict")
-
-
 @query("stream_windowed_counts", "", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(r):
     import uuid

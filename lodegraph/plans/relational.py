@@ -768,21 +768,6 @@ def _(r):
     return r.table("documents").select("doc_id", scalar.quoted_in(F.substring("text", 5, 30), F.col("text")).alias("quoted"))
 
 
-@query("f_row_fingerprint")
-def _(r):
-    return scalar.row_fingerprint(r.scored(), 6)
-
-
-@query("f_mention_windows")
-def _(r):
-    return r.table("documents").select("doc_id", F.size(scalar.mention_windows("text", "the")).cast("long").alias("n_windows"))
-
-
-@query("f_json_leaves")
-def _(r):
-    return r.table("events").select("event_id", F.size(scalar.json_leaves("props")).cast("long").alias("n_leaves"))
-
-
 @query("f_nested_targets", "genes", """
 SELECT gene_index, CASE WHEN size % 5 <> 0 THEN brand END AS class_l1, CAST(CASE WHEN size % 7 = 0 THEN NULL WHEN size % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sm_tractable FROM genes""")
 def _(r):

@@ -128,7 +128,7 @@ UNION ALL SELECT 'routes', unnest(['dwpc_ggd', 'dwpc_gpgd', 'dwpc_gcd']), unnest
 UNION ALL SELECT 'pool', unnest(['union_rows', 'pos_rate_pct', 'base_rate', 'route_admissions', 'duplicates_removed', 'pairs_per_disease']),
   unnest([CAST(n AS DOUBLE), 100.0 * y, v, a + b + c, a + b + c - n, round(n / CAST((SELECT nullif(count(*) FILTER (m >= 20), 0) FROM md) AS DOUBLE))]) FROM un, rt
 UNION ALL SELECT 'hub', 'rho', corr(x, y) FROM hr)""")
-def _(r):
+def calibration_page(r):
     scored = r.scored()
     per_disease = evaluate.auc_with_interval(scored, score="qty").select("disease_index", "auc", F.col("enrichment_at_50").alias("enrichment"))
     per_drug = evaluate.auc_by_group(joins.flag_members(scored, r.truth(), joins.PAIR, "is_known"), label="is_known")

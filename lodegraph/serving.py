@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import top_by_magnitude
-from .operators.evaluate import gap_profile, macro_summary
+from .operators.evaluate import gap_profile
 from .operators.ranking import strict_percentile
 from .sources.readers import append_event, latest_events
 
@@ -72,8 +72,9 @@ def evidence(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *by)
 
 
-def calibration(per_group: DataFrame) -> DataFrame:
-    return macro_summary(per_group)
+def calibration(page: DataFrame, sections: list[str] | None = None) -> DataFrame:
+    """(section, name, value) of the calibration page (E30), or of some of its sections."""
+    return page if sections is None else page.where(F.col("section").isin(sections))
 
 
 def families(panel: DataFrame) -> DataFrame:

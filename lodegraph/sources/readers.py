@@ -115,6 +115,19 @@ def write_outputs(plan: DataFrame, outputs: dict[str, DataFrame]) -> None:
         plan.unpersist()
 
 
+def merge_copies(copies: dict[str, DataFrame], key: str, version: str) -> DataFrame:
+    """One table of several copies: of each key the row of the newest version, with the name of its copy in ``copy``.
+
+    Equal versions: the copy whose name comes first.
+    """
+    named = [df.withColumn("copy", F.lit(name)) for name, df in copies.items()]
+    every = named[0]
+    for df in named[1:]:
+        every = every.unionByName(df)
+    w = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), "copy")
+    return every.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def append_event(spark: SparkSession, folder: str, event: dict) -> None:
     """One event as a JSON file of its own; none is ever changed."""
     body = json.dumps(event | {"event_key": event.get("event_key", uuid.uuid4().hex)}, sort_keys=True)

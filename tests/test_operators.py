@@ -158,14 +158,35 @@ def test_scalars(spark):
     assert value(spark, scalar.capped_list(F.array(*[F.lit(x) for x in "gfedcba"]), 5)) == "a; b; c; d; e +2 more"
     assert value(spark, scalar.capped_list(F.lit(None).cast("array<string>"), 5)) is None
     assert value(spark, scalar.quoted_in(F.lit("A  b"), F.lit("x a\nB y"))) is True
-    df = spark.createDataFrame([(1, 0.1 + 0.2), (2, 1.0)], "a long, b double")
-    same = spark.createDataFrame([(2, 1.0), (1, 0.3)], "a long, b double")
-    assert scalar.row_fingerprint(df, 6).collect() == scalar.row_fingerprint(same, 6).collect()
+    df = spark.createDataFrame([(1, 3), (2, 10)], "a long, b long")
+    same, other = spark.createDataFrame([(2, 10), (1, 3)], df.schema), spark.createDataFrame([(2, 10), (1, 4)], df.schema)
+    prints = [scalar.row_fingerprint(x, ["a", "b"]).collect() for x in (df, same, other)]
+    assert prints[0] == prints[1] != prints[2]
     text = spark.createDataFrame([("aa TP53 bb TP53-like cc", '{"a": ["x", {"b": "y"}], "c": 1}')], "t string, j string")
     got = text.select(scalar.mention_windows("t", "TP53", 3).alias("w"), scalar.json_leaves("j").alias("l")).first()
     assert got["w"] == ["aa TP53 bb"] and got["l"] == ["x", "y"]
 
 
+def test_mention_windows_are_those_of_a_plain_search(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["the", "The", "the-x", "xthe", "a", "bb"]) for _ in range(rng.randrange(60))) for _ in range(60)] + [None, ""]
+
+    def plain(t, word="the", reach=9):
+        out = []
+        for i in range(len(t or "") - len(word) + 1):
+            beside = [t[k] for k in (i - 1, i + len(word)) if 0 <= k < len(t)]
+            if t[i : i + len(word)] == word and not any((c.isascii() and c.isalnum()) or c == "-" for c in beside):
+                a, b = max(0, i - reach), min(len(t), i + len(word) + reach)
+                out = [*out[:-1], (out[-1][0], b)] if out and a <= out[-1][1] else [*out, (a, b)]
+        return [t[a:b] for a, b in out]
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["w"] for r in frame.select("i", scalar.mention_windows("t", "the", 9).alias("w")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_nested_records(spark):
     kind = "id string, safetyLiabilities array<struct<event:string,eventId:string,effects:array<struct<direction:string,dosing:string>>>>, constraint array<struct<constraintType:string,oeUpper:double>>"
     rows = [("a", None, None), ("b", [], []), ("c", [("e1", "1", [("up", "x")]), ("e2", "2", None)], [("lof", 0.2)])]
