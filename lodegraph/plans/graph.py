@@ -65,19 +65,19 @@ def _(r):
     return ontology.nearest_anchor(nodes, r.tree(), nodes.where("node % 7 = 3").withColumnRenamed("node", "anchor"))
 
 
-_DAG = "SELECT DISTINCT l_suppkey + 1000000 AS parent, l_partkey AS child FROM lineitem WHERE l_quantity >= 46"
+_DAG = "SELECT DISTINCT l_suppkey + 1000000 AS parent, l_partkey AS child FROM lineitem"
 
 
 def _dag(r):
-    return r.table("lineitem").where("l_quantity >= 46").select((F.col("l_suppkey") + 1000000).alias("parent"), F.col("l_partkey").alias("child")).distinct()
+    return r.table("lineitem").select((F.col("l_suppkey") + 1000000).alias("parent"), F.col("l_partkey").alias("child")).distinct()
 
 
 @query("g07_elevate", "genes", f"""
-WITH e AS ({_DAG}), f AS (SELECT parent, count(*) AS fan FROM e GROUP BY 1 HAVING count(*) <= 60),
+WITH e AS ({_DAG}), f AS (SELECT parent, count(*) AS fan FROM e GROUP BY 1 HAVING count(*) <= 520),
 p AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY fan, parent) AS r FROM e JOIN f USING (parent))
 SELECT gene_index AS anchor, coalesce(parent, gene_index) AS key FROM genes LEFT JOIN p ON gene_index = child AND r = 1""")
 def _(r):
-    return ontology.elevate(r.genes().select(F.col("gene_index").alias("anchor")), _dag(r), cap=60)
+    return ontology.elevate(r.genes().select(F.col("gene_index").alias("anchor")), _dag(r), cap=520)
 
 
 @query("g08_nearest_key", "tree", f"""
@@ -115,11 +115,11 @@ def _(r):
 
 
 @query("g12_split_overlap", "", """
-WITH t AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 'a' WHEN l_linenumber % 3 = 1 THEN 'b' ELSE 'c' END AS split, l_suppkey AS k FROM lineitem WHERE l_quantity > 49)
+WITH t AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 'a' WHEN l_linenumber % 3 = 1 THEN 'b' ELSE 'c' END AS split, l_suppkey AS k FROM lineitem)
 SELECT x.split AS a, y.split AS b, count(*) AS shared FROM t x JOIN t y ON x.k = y.k AND x.split < y.split GROUP BY 1, 2""")
 def _(r):
     m = F.col("l_linenumber") % 3
-    t = r.table("lineitem").where("l_quantity > 49").select(F.when(m == 0, "a").when(m == 1, "b").otherwise("c").alias("split"), F.col("l_suppkey").alias("k"))
+    t = r.table("lineitem").select(F.when(m == 0, "a").when(m == 1, "b").otherwise("c").alias("split"), F.col("l_suppkey").alias("k"))
     return ontology.split_overlap(t, "k")
 
 
@@ -254,7 +254,7 @@ def _(r):
 
 
 @query("f14_evidence_depth", "", """
-WITH l AS (SELECT l_partkey AS x, l_suppkey AS y, CASE WHEN l_linenumber % 3 = 0 THEN 2 WHEN l_linenumber % 3 = 1 THEN 1 END AS n FROM lineitem WHERE l_quantity > 30), e AS (SELECT x AS g, n FROM l WHERE n IS NOT NULL UNION ALL SELECT y, n FROM l WHERE n IS NOT NULL)
+WITH l AS (SELECT l_partkey AS x, l_suppkey AS y, CASE WHEN l_linenumber % 3 = 0 THEN 2 WHEN l_linenumber % 3 = 1 THEN 1 END AS n FROM lineitem), e AS (SELECT x AS g, n FROM l WHERE n IS NOT NULL UNION ALL SELECT y, n FROM l WHERE n IS NOT NULL)
 SELECT g AS gene_index, round(avg(n), 6) AS depth, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 6) AS multi_fraction FROM e GROUP BY 1""")
 def _(r):
     from .relational import _links

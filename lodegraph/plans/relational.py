@@ -359,12 +359,12 @@ def _(r):
 
 @query("j08_crosswalk", "", """
 SELECT l_orderkey AS k, l_linenumber AS line, m.mid AS mid, t.tgt AS tgt FROM lineitem JOIN (SELECT l_partkey AS p, min(l_suppkey) AS mid FROM lineitem GROUP BY 1) m ON l_partkey = m.p
-JOIN (SELECT s_suppkey AS s, min(CAST(s_nationkey AS BIGINT)) AS tgt FROM supplier GROUP BY 1) t ON m.mid = t.s WHERE l_quantity = 50""")
+JOIN (SELECT s_suppkey AS s, min(CAST(s_nationkey AS BIGINT)) AS tgt FROM supplier GROUP BY 1) t ON m.mid = t.s""")
 def _(r):
     li = r.table("lineitem")
     first = li.select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("mid"))
     second = r.table("supplier").select(F.col("s_suppkey").alias("mid"), F.col("s_nationkey").cast("long").alias("tgt"))
-    return joins.crosswalk(li.where("l_quantity = 50").withColumnRenamed("l_partkey", "p"), first, second, "p", "mid", "tgt").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "mid", "tgt")
+    return joins.crosswalk(li.withColumnRenamed("l_partkey", "p"), first, second, "p", "mid", "tgt").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), "mid", "tgt")
 
 
 @query("j09_tuple_flag", "scored truth", "SELECT s.disease_index, s.gene_index, CAST(CASE WHEN t.gene_index IS NULL THEN 0 ELSE 1 END AS BIGINT) AS is_known FROM scored s LEFT JOIN truth t ON s.disease_index = t.disease_index AND s.gene_index = t.gene_index")
@@ -417,10 +417,10 @@ def _(r):
 
 
 @query("j16_table_diff", "scored truth", """
-SELECT CASE WHEN t.n IS NULL THEN 'left_only' WHEN s.n IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT disease_index, gene_index, count(*) AS n FROM scored WHERE qty < 30 GROUP BY 1, 2) s
-FULL JOIN (SELECT disease_index, gene_index, count(*) AS n FROM truth GROUP BY 1, 2) t ON s.disease_index = t.disease_index AND s.gene_index = t.gene_index GROUP BY 1""")
+SELECT CASE WHEN t.n IS NULL THEN 'left_only' WHEN s.n IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT disease_index, gene_index, count(*) AS n FROM scored GROUP BY 1, 2) s
+FULL JOIN (SELECT disease_index, gene_index, count(*) AS n FROM (SELECT * FROM truth UNION ALL SELECT disease_index, -gene_index - 1 FROM truth WHERE gene_index < 9) GROUP BY 1, 2) t ON s.disease_index = t.disease_index AND s.gene_index = t.gene_index GROUP BY 1""")
 def _(r):
-    return joins.table_diff(r.scored().where("qty < 30"), r.truth(), joins.PAIR)
+    return joins.table_diff(r.scored(), r.truth().unionByName(r.truth().where("gene_index < 9").withColumn("gene_index", -F.col("gene_index") - 1)), joins.PAIR)
 
 
 @query("j17_concept_join", "tree genes", "SELECT parent, child, a.size AS parent_size, b.size AS child_size FROM tree JOIN genes a ON parent = a.gene_index JOIN genes b ON child = b.gene_index WHERE a.size > 10 AND b.size > 10")
@@ -454,12 +454,12 @@ def _(r):
     return r.table("lineitem").withColumn("m", F.concat("l_returnflag", "l_linestatus")).groupBy("l_suppkey").agg(agg.joined_set("m").alias("modes"))
 
 
-_LINKS = "SELECT l_partkey AS x_index, l_suppkey AS y_index, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag || '+' || l_linestatus WHEN l_linenumber % 3 = 1 THEN l_returnflag END AS sources FROM lineitem WHERE l_quantity > 30"
+_LINKS = "SELECT l_partkey AS x_index, l_suppkey AS y_index, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag || '+' || l_linestatus WHEN l_linenumber % 3 = 1 THEN l_returnflag END AS sources FROM lineitem"
 
 
 def _links(r):
     n = F.col("l_linenumber") % 3
-    return r.table("lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("x_index"), F.col("l_suppkey").alias("y_index"), F.when(n == 0, F.concat_ws("+", "l_returnflag", "l_linestatus")).when(n == 1, F.col("l_returnflag")).alias("sources"))
+    return r.table("lineitem").select(F.col("l_partkey").alias("x_index"), F.col("l_suppkey").alias("y_index"), F.when(n == 0, F.concat_ws("+", "l_returnflag", "l_linestatus")).when(n == 1, F.col("l_returnflag")).alias("sources"))
 
 
 @query("a05_pooled_sets", "", f"""
@@ -688,9 +688,9 @@ def _(r):
 
 
 @query("u02_both_ways", "", """
-WITH e AS (SELECT l_partkey AS x_index, l_suppkey AS y_index FROM lineitem WHERE l_quantity > 40) SELECT x_index, y_index FROM e UNION SELECT y_index, x_index FROM e""")
+WITH e AS (SELECT l_partkey AS x_index, l_suppkey AS y_index FROM lineitem) SELECT x_index, y_index FROM e UNION SELECT y_index, x_index FROM e""")
 def _(r):
-    return sets.both_ways(r.table("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("x_index"), F.col("l_suppkey").alias("y_index")))
+    return sets.both_ways(r.table("lineitem").select(F.col("l_partkey").alias("x_index"), F.col("l_suppkey").alias("y_index")))
 
 
 @query("u03_emergent_nodes", "", f"WITH e AS ({_EDGES}) SELECT x_id AS node_id, x_type AS node_type, x_source AS node_source FROM e UNION SELECT y_id, y_type, y_source FROM e")
@@ -736,9 +736,9 @@ def _(r):
 
 
 @query("f_text_ids", "nodes", """
-SELECT node_id, regexp_extract('MONDO:000' || node_id, '^MONDO[:_]0*([0-9]+)$', 1) AS bare, string_split(node_name, ' ')[1] AS first_word, left(node_name, 4) AS head, ltrim('##' || node_id, '#') AS stripped FROM nodes WHERE node_type = 'disease'""")
+SELECT node_id, regexp_extract('MONDO:000' || node_id, '^MONDO[:_]0*([0-9]+)$', 1) AS bare, string_split(node_name, ' ')[1] AS first_word, left(node_name, 4) AS head, ltrim('##' || node_id, '#') AS stripped FROM nodes""")
 def _(r):
-    return r.nodes().where("node_type = 'disease'").select("node_id", scalar.bare_id(F.concat(F.lit("MONDO:000"), F.col("node_id")), "MONDO").alias("bare"), F.get(F.split("node_name", " ", 2), F.lit(0)).alias("first_word"), F.substring("node_name", 1, 4).alias("head"), F.regexp_replace(F.concat(F.lit("##"), F.col("node_id")), "^#+", "").alias("stripped"))
+    return r.nodes().select("node_id", scalar.bare_id(F.concat(F.lit("MONDO:000"), F.col("node_id")), "MONDO").alias("bare"), F.get(F.split("node_name", " ", 2), F.lit(0)).alias("first_word"), F.substring("node_name", 1, 4).alias("head"), F.regexp_replace(F.concat(F.lit("##"), F.col("node_id")), "^#+", "").alias("stripped"))
 
 
 @query("f_token_count", "", f"SELECT sources, CAST(len(string_split(sources, '+')) AS BIGINT) AS n FROM ({_LINKS})")
@@ -763,9 +763,10 @@ def _(r):
     return r.table("part").select("p_partkey", scalar.first_match([(t.rlike("(?i)larg|medi"), "hard"), (t.rlike("(?i)small|econ"), "soft")], "other").alias("area"), F.col("p_brand").rlike("^(Brand#11|Brand#23)$").alias("picked"))
 
 
-@query("f_quote_check", "", "SELECT doc_id, contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(substr(text, 5, 30), '\\s+', ' ', 'g')))) AS quoted FROM documents")
+@query("f_quote_check", "", "SELECT doc_id, contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN reverse(h) ELSE h END, '\\s+', ' ', 'g')))) AS quoted FROM (SELECT *, left(text, CAST(length(text) // 2 AS BIGINT)) AS h FROM documents)")
 def _(r):
-    return r.table("documents").select("doc_id", scalar.quoted_in(F.substring("text", 5, 30), F.col("text")).alias("quoted"))
+    half = F.expr("left(text, cast(char_length(text) div 2 as int))")
+    return r.table("documents").select("doc_id", scalar.quoted_in(F.when(F.col("doc_id") % 3 == 0, F.reverse(half)).otherwise(half), F.col("text")).alias("quoted"))
 
 
 @query("f_nested_targets", "genes", """
