@@ -658,6 +658,8 @@ def plain_em(patterns, prior, true, false, weight, rounds):
         total = sum(post)
         true = [[(sum(p for p, v in zip(post, spans, strict=True) if v[i] == x) + weight * start[1][i][x]) / (total + weight) for x in range(3)] for i in range(len(true))]
         false = [[(sum(1 - p for p, v in zip(post, spans, strict=True) if v[i] == x) + weight * start[2][i][x]) / (len(spans) - total + weight) for x in range(3)] for i in range(len(false))]
+        for i in (list(pii.LABELERS).index(x) for x in pii.ANCHORED):
+            true[i], false[i] = start[1][i], start[2][i]
         prior = (total + weight * start[0]) / (len(spans) + weight)
     return prior, true, false
 
@@ -674,9 +676,9 @@ def drawn_votes(n, seed=1):
 
 def test_em_is_the_plain_one_and_tells_good_labelers_from_guessing_ones():
     small = drawn_votes(150)
-    n = len(pii.LABELERS)
+    guess = pii.first_guess()
     model = pii.em(small, rounds=20)
-    prior, true, false = plain_em(small, 0.5, [[0.3, 0.14, 0.56]] * n, [[0.3, 0.56, 0.14]] * n, 2.0, 20)
+    prior, true, false = plain_em(small, guess.prior, guess.true.tolist(), guess.false.tolist(), pii.POOLED, 20)
     assert abs(model.prior - prior) < 1e-6 and np.allclose(model.true, true) and np.allclose(model.false, false)
     large = pii.em(drawn_votes(5000))
     assert abs(large.prior - 0.4) < 0.05
@@ -689,6 +691,11 @@ def test_added_spans_are_those_of_the_plain_votes(spark):
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     right, wrong, clean = [], [], [words(i, 30) for i in range(100)]
+    number = lambda: rng.choice("456") + digits(15)
+    luhn = lambda t: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(t))) % 10 == 0
+    cards = [number() for _ in range(900)]
+    right += [f"paid {c} then" for c in cards if luhn(c)]
+    wrong += [f"thing {c} then" for c in cards if not luhn(c)][:90]
     for _ in range(60):
         right += [f'his token = "{hexes(40)}" then', f"mail me: joe.{digits(2)} (at) post.org please", f"call phone (415) 555-{digits(4)} today"]
         wrong += [f"version 3.{rng.randrange(300, 999)}.{digits(2)}.7000 of it", f"order {digits(13)}x of it", f"in file run_{digits(3)}_of_the_long_name it"]
