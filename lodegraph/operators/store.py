@@ -43,7 +43,7 @@ def written(df: DataFrame) -> DataFrame:
     path, before = scratch_path(spark), spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     copy = spark.read.schema(df.schema).parquet(path)
