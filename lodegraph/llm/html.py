@@ -21,6 +21,8 @@ COVERED = 0.8
 ARRAY_TOKENS = 1 << 18
 #: Pages of a batch.
 PAGES = 64
+#: Windows of all pages (4 bytes each) that may be broadcast to the pages; beyond it that join shuffles.
+BROADCAST_WINDOWS = 1 << 22
 
 #: In the article; outside it, or nowhere clear; marked weakly, for the host's repeats to decide; never the article.
 MAIN, MAYBE, SOFT, OUT = "main", "maybe", "soft", "out"
@@ -352,8 +354,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     # A window's hot key is asked for once by each place that holds it, which adaptive execution splits.
     asked = append_columns(parsed.select("row_key", "host", "blocks"), fields, windows, PAGES).select("row_key", "host", F.explode("grams").alias("g")).select("row_key", "host", "g.at", "g.gram")
-    covered = asked.join(common, ["host", "gram"]).groupBy("row_key").agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    decided = parsed.join(covered, "row_key", "left")
+    covered = materialize(asked.join(common, ["host", "gram"]).groupBy("row_key").agg(F.sort_array(F.collect_set("at")).alias("covered")))
+    windows_held = covered.agg(F.sum(F.size("covered"))).first()[0] or 0
+    decided = parsed.join(F.broadcast(covered) if windows_held <= BROADCAST_WINDOWS else covered, "row_key", "left")
 
     def make():
         def step(batch):
