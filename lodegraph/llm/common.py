@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,20 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of an Arrow batch of texts between Spark and Python.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, rows: int = 256) -> DataFrame:
     """df with columns that ``make()(record_batch)`` computes, in one Arrow pass without a shuffle.
 
-    ``make`` runs once per task. Batches are cut to ``rows`` rows, so memory follows the longest texts of so many rows.
+    ``make`` runs once per task. Batches are cut to ``rows`` rows, so memory follows the longest texts of so many rows; Spark's own
+    batches, which both sides hold whole, are kept to BATCH_ROWS rows by the session's setting, if that is larger.
     A column of df whose name a new field takes (whatever its case) is replaced.
     """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     taken = {f.name.lower() for f in fields}
     base = df.select(*[col(c) for c in df.columns if c.lower() not in taken])
     names = [*base.columns, *[f.name for f in fields]]
@@ -67,15 +75,23 @@ def _open(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key")
 
 
-def linked_groups(rows: DataFrame, near: Callable, verify: Callable, split: Callable | None = None) -> DataFrame:
-    """(a, b): verified edges whose components are those of all pairs of nodes that share a key, pass ``near`` and pass ``verify``.
+def linked_groups(rows: DataFrame, attributes: DataFrame, alike: Column, verify: Callable, split: Callable | None = None) -> DataFrame:
+    """(a, b): verified edges whose components are those of all pairs of nodes that share a key, are ``alike`` and pass ``verify``.
 
-    rows: (key, node). ``near`` and ``verify`` take pairs (a, b) to those that pass; the first is cheap. First each node meets
+    rows: (key, node); attributes: node and other columns, one row a node. ``alike`` is a cheap condition on the columns of both
+    nodes, named x_a and x_b for x; ``verify`` takes pairs (a, b) to those that pass. First each node meets
     one other, the least node of its keys. Keys that these edges leave in several components are stars then: their nodes meet
-    the least and the greatest one. Of what is still apart, all pairs of different components meet. So a dense group of alike
+    the least and the greatest one. Of what is still apart, all pairs of different components meet, and only those that are
+    alike leave that join. So a dense group of alike
     nodes costs a few times its rows, and no pair that could join two components is left out. ``split`` takes crowded keys'
-    rows to finer keys that every near pair still shares.
+    rows to finer keys that every alike pair still shares.
     """
+    columns = [c for c in attributes.columns if c != "node"]
+    side = lambda s, df, *more: df.select(*more, F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(side("a", attributes), "a").join(side("b", attributes), "b").where(alike).select("a", "b")
+
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
     kept = materialize(rows.join(shared, "key").distinct())
     tested = materialize(near(kept.groupBy(F.col("node").alias("b")).agg(F.min("lo").alias("a")).where("a < b").select("a", "b")))
@@ -91,10 +107,9 @@ def linked_groups(rows: DataFrame, near: Callable, verify: Callable, split: Call
     edges2, tested2 = materialize(edges.unionAll(more)), materialize(tested.unionAll(again))
     release(tested, again, edges, more)
 
-    rest = materialize(_open(parts, edges2).select("key", "node", "root"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("root2"))
-    met = rest.select("key", F.col("node").alias("a"), "root").join(other, "key")
-    apart = near(met.where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root2"))).select("a", "b").distinct())
+    rest = materialize(_open(parts, edges2).select("key", "node", "root").join(attributes, "node"))
+    one, other = (side(x, rest, "key", F.col("root").alias(f"root_{x}")) for x in "ab")
+    apart = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike).select("a", "b").distinct()
     last = materialize(apart.join(tested2, ["a", "b"], "left_anti"))
     final = verify(last)
     every = materialize(edges2.unionAll(final))

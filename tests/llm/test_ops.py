@@ -63,9 +63,9 @@ def test_linked_groups_reach_what_all_pairs_reach(spark, crowded, monkeypatch):
         seen.append(pairs.count())
         return common.materialize(pairs.join(frame, ["a", "b"]))
 
-    near = lambda pairs: pairs.where("a % 3 = b % 3")
+    attributes = spark.range(120).selectExpr("id AS node", "id % 3 AS r")
     split = lambda r: r.selectExpr("key * 3 + node % 3 AS key", "node")
-    got = dict(connected_components(linked_groups(spark.createDataFrame(rows, "key long, node long"), near, verify, split)).collect())
+    got = dict(connected_components(linked_groups(spark.createDataFrame(rows, "key long, node long"), attributes, F.col("r_a") == F.col("r_b"), verify, split)).collect())
     keys = {n: {k for k, m in rows if m == n} for n in range(120)}
     label = list(range(120))
 
