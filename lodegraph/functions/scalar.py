@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
 def blank(c: Column) -> Column:
@@ -107,53 +105,40 @@ def alias_pattern(alias: str) -> str:
     return rf"(?<![A-Za-z0-9-]){re.escape(alias)}(?![A-Za-z0-9-])"
 
 
-def mention_windows(text: str, alias: str, reach: int = 120):
-    """array<string>: the merged windows of ``reach`` characters around each mention (Arrow pass: windows merge in order)."""
-    import re
+def mention_windows(text: str, alias: str, reach: int = 120) -> Column:
+    """array<string>: the merged windows of ``reach`` characters around each mention; none for null.
+
+    Mentions cut the text into pieces, so their places are sums of lengths. A fold over the pieces carries one open window,
+    which a mention either widens or closes.
+    """
+    t, length = F.col(text), len(alias)
+    pieces = F.split(t, alias_pattern(alias), -1)
+    before = F.transform(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), F.length)
+    window = "struct<a:int,b:int>"
+    start = F.struct(F.lit(0).alias("at"), F.length(t).alias("n"), F.lit(None).cast(window).alias("open"), F.array().cast(f"array<{window}>").alias("closed"))
+
+    def step(s, gap):
+        a, b = F.greatest(s["at"] + gap - reach, F.lit(0)), F.least(s["at"] + gap + length + reach, s["n"])
+        new = F.struct(a.alias("a"), b.alias("b"))
+        touches = s["open"].isNotNull() & (a <= s["open"]["b"])
+        wider = F.struct(s["open"]["a"].alias("a"), b.alias("b"))
+        closed = F.when(s["open"].isNull() | touches, s["closed"]).otherwise(F.concat(s["closed"], F.array(s["open"])))
+        return F.struct((s["at"] + gap + length).alias("at"), s["n"].alias("n"), F.when(touches, wider).otherwise(new).alias("open"), closed.alias("closed"))
+
+    spans = F.aggregate(before, start, step, lambda s: F.when(s["open"].isNull(), s["closed"]).otherwise(F.concat(s["closed"], F.array(s["open"]))))
+    return F.coalesce(F.transform(spans, lambda w: F.substring(t, w["a"] + 1, w["b"] - w["a"])), F.array().cast("array<string>"))
 
-    pattern = alias_pattern(alias)
-
-    @pandas_udf("array<string>")
-    def windows(texts: pd.Series) -> pd.Series:
-        token = re.compile(pattern)
-
-        def of(t):
-            spans = []
-            for m in token.finditer(t or ""):
-                a, b = max(0, m.start() - reach), min(len(t), m.end() + reach)
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = b
-                else:
-                    spans.append([a, b])
-            return [t[a:b] for a, b in spans]
-
-        return texts.map(of)
-
-    return windows(F.col(text))
-
-
-def json_leaves(column: str):
-    """array<string>: the text leaves of a JSON document in order (Arrow pass: nesting has no bound)."""
-    import json
-
-    @pandas_udf("array<string>")
-    def leaves(values: pd.Series) -> pd.Series:
-        def of(v):
-            out, stack = [], []
-            try:
-                stack = [json.loads(v)]
-            except (TypeError, ValueError):
-                return []
-            while stack:
-                x = stack.pop()
-                if isinstance(x, str):
-                    out.append(x)
-                elif isinstance(x, dict):
-                    stack.extend(reversed(list(x.values())))
-                elif isinstance(x, list):
-                    stack.extend(reversed(x))
-            return out
-
-        return values.map(of)
-
-    return leaves(F.col(column))
+
+#: A string of a JSON text, with the colon after it if it is a name. No step of the pattern goes back.
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+'
+
+
+def json_leaves(column: str) -> Column:
+    """array<string>: the text leaves of a JSON document in its order, at any depth; none if it isn't valid.
+
+    Strings of a valid document are its leaves and its names, and only names have a colon after them.
+    """
+    c = F.col(column)
+    strings = F.filter(F.regexp_extract_all(c, F.lit(_JSON_STRING), F.lit(0)), lambda s: s.endswith('"'))
+    leaves = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    return F.when(F.try_parse_json(c).isNotNull(), leaves).otherwise(F.array().cast("array<string>"))

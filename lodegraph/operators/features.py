@@ -110,6 +110,18 @@ def disease_context(assoc: DataFrame, disease_edges: DataFrame) -> DataFrame:
     return disease_edges.join(assoc.withColumnRenamed("disease_index", "b"), "b").groupBy("gene_index", F.col("a").alias("disease_index")).agg(F.countDistinct("b").alias("n_context"))
 
 
+def disease_context_of_groups(assoc: DataFrame, members: DataFrame, group: str = "group") -> DataFrame:
+    """The same where all diseases of a group are neighbours, without their pairs (F9). members: (disease_index, group), one row a disease.
+
+    A gene's links into a group are counted once; a disease has those of its group less its own.
+    """
+    assoc = assoc.select("gene_index", "disease_index").distinct()
+    counts = assoc.join(members, "disease_index").groupBy("gene_index", group).agg(F.count("*").alias("n"))
+    own = assoc.withColumn("own", F.lit(1))
+    every = counts.join(members, group).join(own, ["gene_index", "disease_index"], "left")
+    return every.select("gene_index", "disease_index", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_context")).where("n_context > 0")
+
+
 def keyword_flag(annotation: DataFrame, terms: DataFrame, words: list[str]) -> DataFrame:
     """(gene_index, flag = 1) of genes with a term whose name holds a word, case-sensitive."""
     hit = F.lit(False)
@@ -129,82 +141,52 @@ def common_neighbour_z(ppi: DataFrame, assoc: DataFrame) -> DataFrame:
     return shared.withColumnRenamed("g", "gene_index").join(deg, "gene_index").join(size, "disease_index").crossJoin(n).select("gene_index", "disease_index", "x", hypergeometric_z(F.col("x"), F.col("n"), F.col("deg"), F.col("k")).alias("z"))
 
 
-def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int = 5, hops: int = 3, local_edges: int = walks.LOCAL_EDGES) -> DataFrame:
+def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int = 5, hops: int = 3) -> DataFrame:
     """Closest and mean distance, exp(-d) kernel and number of seeds reached within ``hops``, a gene's own seed left out.
 
-    A graph of up to ``local_edges`` edges goes to every task, which searches from the seeds of one disease at a time, 64 in a
-    word of bits; seeds times their reach never stand in a table. A larger one goes by joins.
+    A gene that seeds many diseases is searched once. The graph stays partitioned by node and a row carries the bits of 1,024 seeds.
     """
     simple = written(ppi.select("x_index", "y_index").distinct())
     inside = assoc.join(simple.select(F.col("x_index").alias("gene_index")).distinct(), "gene_index", "left_semi")
     fit = inside.groupBy("disease_index").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("disease_index").join(module_size(assoc, gate).select("disease_index"), "disease_index")
-    seeds = inside.join(fit, "disease_index").select("disease_index", F.col("gene_index").alias("seed"))
-    graph = walks.collected(simple, local_edges)
-    if graph is not None:
-        return walks.proximities(graph, _dealt(seeds.groupBy("disease_index").agg(F.collect_set("seed").alias("nodes")), "disease_index"), hops)
-    from .ontology import k_hop
+    seeds = written(inside.join(fit, "disease_index").select("disease_index", F.col("gene_index").alias("seed")).distinct())
+    return walks.proximities(simple, seeds, hops)
 
-    reach = k_hop(seeds.select(F.col("seed").alias("node")).distinct(), simple, hops).where("hops > 0")
-    return seeds.join(reach, seeds["seed"] == reach["source"]).groupBy(F.col("node").alias("gene_index"), "disease_index").agg(
-        F.min("hops").alias("closest"), F.avg("hops").alias("mean_distance"), F.sum(F.exp(-F.col("hops").cast("double"))).alias("kernel"), F.count("*").alias("n_reach")
-    )
 
+def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300, floor: float | None = None) -> DataFrame:
+    """(walk_id, node, score) above ``floor``, 1/n if none is given: random walk with restart at each walk's seeds.
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Few rows of much work each, over as many tasks as there are shuffle partitions."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
-def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300, every: int = 5, local_edges: int = walks.LOCAL_EDGES) -> DataFrame:
-    """(walk_id, node, score): random walk with restart at each walk's seeds.
-
-    edges hold both directions; seeds: (walk_id, node). The mass of each walk stays 1, and it goes on until a round changes it by
-    less than n times the tolerance. A walk's seeds without edges don't count; a walk without any other has no rows.
-    A graph of up to ``local_edges`` edges goes to every task, and tasks share out the walks. On a larger one all walks go
-    together from their seeds, one join and sum a round; every few rounds the table is written and the largest change taken.
+    edges hold both directions; seeds: (walk_id, node). A walk starts uniform over all n nodes, and goes on until a round changes it by
+    less than n times the tolerance. A walk's seeds without edges don't count; a walk without any other has no rows. Nodes that
+    no seed leads to are left with less than that change and have no rows.
     """
     simple = written(edges.select("x_index", "y_index").distinct())
-    nodes = simple.select(F.col("x_index").alias("node")).distinct()
-    inside = seeds.join(nodes, "node", "left_semi").distinct()
-    graph = walks.collected(simple, local_edges)
-    if graph is not None:
-        return walks.walks(graph, _dealt(inside.groupBy("walk_id").agg(F.collect_list("node").alias("nodes")), "walk_id"), alpha, tolerance, max_rounds)
-    out_degree = simple.groupBy("x_index").agg(F.count("*").alias("deg"))
-    steps = written(simple.join(out_degree, "x_index").select(F.col("x_index").alias("node"), F.col("y_index").alias("to"), (1 / F.col("deg")).alias("p")))
-    n = nodes.count()
-    restart = written(inside.join(inside.groupBy("walk_id").agg(F.count("*").alias("k")), "walk_id").select("walk_id", "node", (1 / F.col("k")).alias("r")))
-    score = restart.withColumnRenamed("r", "score")
-    for i in range(max_rounds):
-        moved = score.join(steps, "node").groupBy("walk_id", F.col("to").alias("node")).agg(F.sum(F.col("score") * F.col("p")).alias("s"))
-        new = moved.join(restart, ["walk_id", "node"], "full_outer").select("walk_id", "node", (alpha * F.coalesce("s", F.lit(0.0)) + (1 - alpha) * F.coalesce("r", F.lit(0.0))).alias("score"))
-        if i % every == every - 1:
-            new = written(new)
-            old = score.withColumnRenamed("score", "old")
-            change = new.join(old, ["walk_id", "node"], "full_outer").groupBy("walk_id").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("c")).agg(F.max("c")).first()[0]
-            score = new
-            if change is None or change < n * tolerance:
-                break
-        else:
-            score = new
-    return score
+    inside = seeds.join(simple.select(F.col("x_index").alias("node")).distinct(), "node", "left_semi").distinct()
+    score, rest, n = walks.power_iteration(simple, inside, alpha, tolerance, max_rounds)
+    whole = score.join(rest, "node").select("walk_id", "node", (F.col("score") + F.col("rest")).alias("score"))
+    return whole.where(F.col("score") > (1 / max(n, 1) if floor is None else floor))
 
 
-def held_out_walk(edges: DataFrame, assoc: DataFrame, folds: int = 5, gate: int = GATE, max_rounds: int = 300) -> DataFrame:
+def held_out_walk(edges: DataFrame, assoc: DataFrame, folds: int = 5, gate: int = GATE, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300) -> DataFrame:
     """(gene_index, disease_index, score): a seed is scored by the walk that leaves its fold out, others by the walk of all seeds if above 1/n.
 
-    Folds come from a hash of the pair, not from a shuffled order.
+    Every seed with edges has a row, even one that no other seed leads to, if its walk has other seeds. Folds come from a hash of the
+    pair, not from a shuffled order.
     """
-    assoc, edges = written(assoc), written(edges.select("x_index", "y_index"))
-    seeds = assoc.join(module_size(assoc, gate).select("disease_index"), "disease_index").withColumn("fold", F.pmod(F.xxhash64("gene_index", "disease_index"), F.lit(folds)))
+    assoc, simple = written(assoc), written(edges.select("x_index", "y_index").distinct())
+    inside = assoc.join(module_size(assoc, gate).select("disease_index"), "disease_index").join(simple.select(F.col("x_index").alias("gene_index")).distinct(), "gene_index", "left_semi")
+    seeds = written(inside.select("gene_index", "disease_index", F.pmod(F.xxhash64("gene_index", "disease_index"), F.lit(folds)).alias("fold")))
     walk_id = lambda d, f: d * (folds + 1) + f
     full = seeds.select(walk_id(F.col("disease_index"), F.lit(folds)).alias("walk_id"), F.col("gene_index").alias("node"))
     left = seeds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("f <> fold").select(walk_id(F.col("disease_index"), F.col("f")).alias("walk_id"), F.col("gene_index").alias("node"))
-    scores = written(random_walk(edges, full.unionAll(left), max_rounds=max_rounds))
-    n = edges.select("x_index").distinct().count()
-    named = scores.select(F.col("node").alias("gene_index"), F.expr(f"walk_id div {folds + 1}").alias("disease_index"), (F.col("walk_id") % (folds + 1)).alias("f"), "score")
-    own = named.join(seeds.withColumnRenamed("fold", "f"), ["gene_index", "disease_index", "f"]).select("gene_index", "disease_index", "score")
-    rest = named.where((F.col("f") == folds) & (F.col("score") > 1 / max(n, 1))).join(seeds, ["gene_index", "disease_index"], "left_anti").select("gene_index", "disease_index", "score")
-    return own.unionAll(rest)
+    restarts = full.unionAll(left)
+    score, rest, n = walks.power_iteration(simple, restarts, alpha, tolerance, max_rounds)
+    own = seeds.select("gene_index", "disease_index", walk_id(F.col("disease_index"), F.col("fold")).alias("walk_id"), F.col("gene_index").alias("node"))
+    own = own.join(left.select("walk_id").distinct(), "walk_id", "left_semi").join(rest, "node").join(score, ["walk_id", "node"], "left")
+    own = own.select("gene_index", "disease_index", (F.coalesce("score", F.lit(0.0)) + F.col("rest")).alias("score"))
+    others = score.where(F.col("walk_id") % (folds + 1) == folds).join(rest, "node").select(F.col("node").alias("gene_index"), F.expr(f"walk_id div {folds + 1}").alias("disease_index"), (F.col("score") + F.col("rest")).alias("score"))
+    others = others.where(F.col("score") > 1 / max(n, 1)).join(seeds, ["gene_index", "disease_index"], "left_anti")
+    return own.unionAll(others)
 
 
 def evidence_depth(metadata: DataFrame) -> DataFrame:

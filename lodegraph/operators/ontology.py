@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import connected_components, written
+from .store import connected_components, release, written
 
 
 def components(edges: DataFrame, x: str = "x_index", y: str = "y_index") -> DataFrame:
@@ -24,7 +24,10 @@ def largest_component(edges: DataFrame, x: str = "x_index", y: str = "y_index")
 
 
 def closure(edges: DataFrame, parent: str = "parent", child: str = "child", max_depth: int = 60) -> DataFrame:
-    """(ancestor, descendant, depth): least depth over a DAG of parent-child edges (G4, G5). Paths double in length each round."""
+    """(ancestor, descendant, depth): least depth over a DAG of parent-child edges (G4, G5). Paths double in length each round.
+
+    Raises if something lies deeper than ``max_depth``.
+    """
     step = written(edges.select(F.col(parent).alias("ancestor"), F.col(child).alias("descendant"), F.lit(1).alias("depth")).distinct())
     known, reach = step, 1
     size = known.count()
@@ -36,18 +39,30 @@ def closure(edges: DataFrame, parent: str = "parent", child: str = "child", max_
         if now == size:
             break
         size = now
+    ends = known.where(F.col("depth") == max_depth).select("ancestor", F.col("descendant").alias("middle"))
+    deeper = ends.join(step.select(F.col("ancestor").alias("middle"), "descendant"), "middle").join(known, ["ancestor", "descendant"], "left_anti")
+    if not deeper.isEmpty():
+        raise ValueError(f"a descendant lies deeper than {max_depth}")
     return known.withColumn("depth", F.col("depth").cast("long"))
 
 
 def nearest_anchor(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, max_depth: int = 15) -> DataFrame:
     """(node, anchor, depth): the nearest anchor at or above a node, ties to the smallest; the node itself, depth null, if none.
 
-    nodes: node; anchors: anchor; edges: parent, child.
+    nodes: node; anchors: anchor; edges: parent, child. Anchors go down level by level and a node keeps the first that reaches it: the
+    smallest one at least depth comes through a parent that has it as its own. So each node is in the frontier once, and the
+    search ends after ``max_depth`` rounds or when nothing new is reached.
     """
-    up = closure(edges, max_depth=max_depth).join(anchors.withColumnRenamed("anchor", "ancestor"), "ancestor").select(F.col("descendant").alias("node"), F.col("ancestor").alias("anchor"), "depth")
-    own = nodes.join(anchors, nodes["node"] == anchors["anchor"], "left_semi").select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("depth"))
-    best = up.unionAll(own).groupBy("node").agg(F.min(F.struct("depth", "anchor")).alias("b"))
-    return nodes.join(best, "node", "left").select("node", F.coalesce("b.anchor", "node").alias("anchor"), F.col("b.depth").alias("depth"))
+    steps = written(edges.select("parent", "child").distinct())
+    seen = frontier = written(anchors.select(F.col("anchor").alias("node"), "anchor", F.lit(0).cast("long").alias("depth")).distinct())
+    for depth in range(1, max_depth + 1):
+        reached = frontier.join(steps, F.col("node") == F.col("parent")).groupBy("child").agg(F.min("anchor").alias("anchor"))
+        fresh = reached.select(F.col("child").alias("node"), "anchor", F.lit(depth).cast("long").alias("depth"))
+        frontier = written(fresh.join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    return nodes.join(seen, "node", "left").select("node", F.coalesce("anchor", "node").alias("anchor"), "depth")
 
 
 def fan_outs(edges: DataFrame) -> DataFrame:
@@ -114,24 +129,33 @@ def k_hop(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def greedy_groups(edges: DataFrame) -> DataFrame:
+def greedy_groups(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, group): a one-hop grouping in which no group's seeds are neighbours (G3, greedy, made independent of row order).
 
-    A node that is the smallest among its ungrouped neighbours seeds a group and takes those neighbours, each going to the
-    smallest seed; rounds go on with the rest.
+    Nodes have a random order, by a hash of their id. A node that comes before all its ungrouped neighbours seeds a group and takes those
+    neighbours, each going to its first seed; rounds go on with the rest. Under a random order the rounds grow with the
+    logarithm of the nodes, whatever the shape of the graph; more than ``max_rounds`` raise.
     """
+    place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
     both = edges.select(F.col("x_index").alias("u"), F.col("y_index").alias("v"))
-    both = written(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
-    left = written(both.select(F.col("u").alias("node")).distinct())
+    inner = written(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    left = written(inner.select(F.col("u").alias("node")).distinct())
     parts = []
-    while left.limit(1).count():
-        inner = both.join(left.withColumnRenamed("node", "u"), "u", "left_semi").join(left.withColumnRenamed("node", "v"), "v", "left_semi")
-        least = inner.groupBy("u").agg(F.min("v").alias("m"))
-        seeds = left.join(least, left["node"] == least["u"], "left").where("m is null or node < m").select(F.col("node").alias("seed"))
-        taken = inner.join(seeds, inner["v"] == seeds["seed"]).groupBy("u").agg(F.min("seed").alias("group")).select(F.col("u").alias("node"), "group")
+    while not left.isEmpty():
+        if len(parts) >= max_rounds:
+            raise ValueError(f"groups did not settle in {max_rounds} rounds")
+        first = inner.groupBy(F.col("u").alias("node")).agg(F.min(place("v")).alias("m"))
+        seeds = left.join(first, "node", "left").where(F.col("m").isNull() | (place("node") < F.col("m"))).select(F.col("node").alias("seed"))
+        taken = inner.join(seeds, inner["v"] == seeds["seed"]).groupBy(F.col("u").alias("node")).agg(F.min(place("seed"))["id"].alias("group"))
         part = written(seeds.select(F.col("seed").alias("node"), F.col("seed").alias("group")).unionAll(taken))
         parts.append(part)
+        before = left, inner
         left = written(left.join(part, "node", "left_anti"))
+        inner = written(inner.join(left.select(F.col("node").alias("u")), "u", "left_semi").join(left.select(F.col("node").alias("v")), "v", "left_semi"))
+        release(*before)
+    if not parts:
+        return left.select("node", F.col("node").alias("group"))
+    release(left, inner)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

@@ -207,9 +207,9 @@ def _(r):
 WITH e AS (SELECT DISTINCT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey)
 SELECT gene_index, a AS disease_index, count(DISTINCT b) AS n_context FROM e JOIN assoc ON b = disease_index GROUP BY 1, 2""")
 def _(r):
-    c = r.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    e = c.withColumnRenamed("c_custkey", "a").join(c.withColumnRenamed("c_custkey", "b"), ["c_nationkey", "c_mktsegment"]).where("a <> b").select("a", "b")
-    return features.disease_context(r.assoc(), e)
+    group = F.concat_ws("|", "c_nationkey", "c_mktsegment")
+    members = r.table("customer").select(F.col("c_custkey").alias("disease_index"), group.alias("group"))
+    return features.disease_context_of_groups(r.assoc(), members)
 
 
 @query("f10_keyword_flag", "pathway", "SELECT DISTINCT gene_index, CAST(1 AS BIGINT) AS flag FROM pathway JOIN supplier ON term_index = s_suppkey WHERE contains(s_name, '7') OR contains(s_name, '13')")

@@ -47,17 +47,15 @@ def _(r):
     return nested.safety_facts(r.table("part").select(F.col("p_partkey").alias("id"), liabilities.alias("safetyLiabilities"), constraint.alias("constraint")), cap=2)
 
 
-@query("s12_pinned_file", "", "SELECT 'nations.txt' AS file, CAST(octet_length(encode(b)) AS BIGINT) AS bytes, sha256(b) AS sha256, '1' AS version FROM (SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) AS b FROM nation)")
+@query("s12_pinned_file", "", "SELECT 'nations.txt' AS file, CAST(octet_length(encode(b)) AS BIGINT) AS bytes, sha256(b) AS sha256, '1' AS version FROM (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS b FROM nation)")
 def _(r):
-    import tempfile
-    from pathlib import Path
-
-    # A pin is a file of the driver by nature: what is pulled there once, and never again.
-    with tempfile.TemporaryDirectory() as folder:
-        source = Path(folder) / "nations.txt"
-        source.write_text("\n".join(x[0] for x in r.table("nation").orderBy("n_nationkey").select("n_name").collect()))
-        pinned = readers.pin(str(source), f"{folder}/pins", "1")
-        assert readers.pin(str(source), f"{folder}/pins", "2") == pinned
+    folder = _scratch(r, "pins")
+    r.table("nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(f"{folder}/source")
+    hadoop, conf = r.spark._jvm.org.apache.hadoop.fs, r.spark._jsparkSession.sessionState().newHadoopConf()
+    fs = hadoop.Path(folder).getFileSystem(conf)
+    fs.rename(fs.globStatus(hadoop.Path(f"{folder}/source/part-*"))[0].getPath(), hadoop.Path(f"{folder}/nations.txt"))
+    pinned = readers.pin(r.spark, f"{folder}/nations.txt", f"{folder}/kept", "1")
+    assert readers.pin(r.spark, f"{folder}/nations.txt", f"{folder}/kept", "2") == pinned
     return r.spark.createDataFrame([(pinned["file"], pinned["bytes"], pinned["sha256"], pinned["version"])], "file string, bytes long, sha256 string, version string")
 
 
@@ -100,24 +98,44 @@ def _(r):
     return r.table("part").select("p_partkey", doc.alias("doc")).select("p_partkey", F.array_join(scalar.json_leaves("doc"), "|").alias("leaves"))
 
 
-@query("f_mention_windows")
+# Places of the word are sums of the lengths between; it is a mention if neither neighbour is a letter, digit or hyphen.
+@query("f_mention_windows", "", """
+WITH p AS (SELECT doc_id, length(text) AS n, text, string_split(text, 'the') AS w FROM documents WHERE contains(text, 'the')),
+s AS (SELECT doc_id, n, text, unnest(w) AS piece, unnest(range(1, len(w) + 1)) AS k, len(w) AS pieces FROM p),
+q AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) + 3 * (k - 1) AS pos, lead(piece) OVER (PARTITION BY doc_id ORDER BY k) AS after FROM s),
+m AS (SELECT doc_id, n, text, greatest(pos - 120, 0) AS a, least(pos + 123, n) AS b FROM q WHERE k < pieces
+  AND CASE WHEN piece = '' THEN k = 1 ELSE NOT regexp_matches(right(piece, 1), '[A-Za-z0-9-]') END
+  AND CASE WHEN after = '' THEN k + 1 = pieces ELSE NOT regexp_matches(left(after, 1), '[A-Za-z0-9-]') END),
+i AS (SELECT *, CASE WHEN a <= lag(b) OVER (PARTITION BY doc_id ORDER BY a, b) THEN 0 ELSE 1 END AS fresh FROM m),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b) AS place FROM i)
+SELECT doc_id, CAST(place - 1 AS BIGINT) AS place, substr(any_value(text), CAST(min(a) + 1 AS BIGINT), CAST(max(b) - min(a) AS BIGINT)) AS window FROM g GROUP BY doc_id, place""")
 def _(r):
     """The windows' whole text, in order."""
     found = r.table("documents").select("doc_id", F.posexplode(scalar.mention_windows("text", "the")).alias("place", "window"))
     return found.select("doc_id", F.col("place").cast("long").alias("place"), "window")
 
 
-@query("api_health", "", "SELECT 'ok' AS status")
+_SERVED = ["customer", "lineitem", "orders", "part", "supplier"]
+
+
+@query("api_health", "", " UNION ALL ".join(f"SELECT '{t}' AS name, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status, count(*) AS n FROM {t}" for t in _SERVED))
 def _(r):
-    return serving.health(r.spark).select("status")
+    return serving.health({t: r.table(t) for t in _SERVED})
 
 
-@query("api_reviews", "", "SELECT CAST(unnest([1, 1, 4]) AS BIGINT) AS disease_index, CAST(unnest([2, 3, 2]) AS BIGINT) AS gene_index, unnest(['accept', 'open', 'reject']) AS verdict, unnest(['b', 'c', 'e']) AS note")
+# Events of a user about a number: the newest is the review of that pair.
+@query("api_reviews", "", """
+SELECT disease_index, gene_index, verdict, note FROM (SELECT user_id AS disease_index, CAST(json_extract_string(props, '$.k') AS BIGINT) AS gene_index, event_type AS verdict, props AS note,
+  row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts DESC, lpad(CAST(event_id AS VARCHAR), 20, '0') DESC) AS r FROM events) WHERE r = 1""")
 def _(r):
-    path = _scratch(r, "reviews")
-    for i, (d, g, verdict, note) in enumerate([(1, 2, "open", "a"), (1, 2, "accept", "b"), (1, 3, "open", "c"), (4, 2, "accept", "d"), (4, 2, "reject", "e")]):
-        serving.post_review(r.spark, path, {"disease_index": d, "gene_index": g, "verdict": verdict, "note": note, "at": f"2026-01-0{i + 1}T00:00:00Z"})
-    return serving.reviews(r.spark, path).select("disease_index", "gene_index", "verdict", "note")
+    """All events as review files, out of order and a share of them twice, in several batches."""
+    folder, e = _scratch(r, "reviews"), r.table("events")
+    posted = e.select(
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_key"), F.col("user_id").cast("long").alias("disease_index"), F.get_json_object("props", "$.k").cast("long").alias("gene_index"),
+        F.col("event_type").alias("verdict"), F.col("props").alias("note"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at"))
+    posted.repartition(6, "event_key").write.json(f"{folder}/events")
+    posted.where("event_key % 3 = 0").repartition(2, "event_key").write.mode("append").json(f"{folder}/events")
+    return serving.reviews(r.spark, f"{folder}/events", f"{folder}/state", 3).select("disease_index", "gene_index", "verdict", "note")
 
 
 @query("api_calibration")

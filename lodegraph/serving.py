@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions.scalar import top_by_magnitude
 from .operators.evaluate import gap_profile
 from .operators.ranking import strict_percentile
-from .sources.readers import append_event, latest_events
+from .sources.readers import append_event
+from .streaming.events import keep_snapshot, newest_by_key
 
 
-def health(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("ok", spark.version)], "status string, version string")
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, status, n): for each table that is served its rows, "ok" or "empty"."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.when(F.col("n") > 0, "ok").otherwise("empty").alias("status"), "n") for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def candidate_diseases(candidates: DataFrame) -> DataFrame:
@@ -85,13 +92,22 @@ def family(overlap: DataFrame, family_id: int) -> DataFrame:
     return gap_profile(overlap.where(F.col("family_id") == family_id))
 
 
+_REVIEW = T.StructType([T.StructField("event_key", T.StringType()), T.StructField("disease_index", T.LongType()), T.StructField("gene_index", T.LongType()), T.StructField("verdict", T.StringType()), T.StructField("note", T.StringType()), T.StructField("at", T.TimestampType())])
+
+
 def post_review(spark: SparkSession, folder: str, review: dict) -> None:
+    """One review as an event of its own; a verdict needs a note."""
+    if not (review.get("note") or "").strip():
+        raise ValueError("a review needs a note")
     append_event(spark, folder, review)
 
 
-def reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest review of each pair."""
-    from pyspark.sql import types as T
+def reviews(spark: SparkSession, folder: str, state: str, files_per_trigger: int = 100) -> DataFrame:
+    """The latest review of each pair: a stream over the folder's events, which goes on from where the last call stopped.
 
-    schema = T.StructType([T.StructField("event_key", T.StringType()), T.StructField("disease_index", T.LongType()), T.StructField("gene_index", T.LongType()), T.StructField("verdict", T.StringType()), T.StructField("note", T.StringType()), T.StructField("at", T.TimestampType())])
-    return latest_events(spark, folder, schema, ["disease_index", "gene_index"], "at")
+    ``state`` holds the stream's position and the compacted snapshot. An empty folder gives an empty table.
+    """
+    stream = spark.readStream.schema(_REVIEW).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+    key = ["disease_index", "gene_index"]
+    kept = keep_snapshot(newest_by_key(stream, key, "at", "event_key"), key, f"{state}/snapshots", f"{state}/stream")
+    return kept if kept is not None else spark.createDataFrame([], _REVIEW)

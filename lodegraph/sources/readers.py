@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import time
 import uuid
-from pathlib import Path
+from collections.abc import Callable
 
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,20 +84,58 @@ def inside_both(links: DataFrame, members: DataFrame, x: str, y: str, key: str)
     return links.join(members.select(F.col(key).alias(x)).distinct(), x, "left_semi").join(members.select(F.col(key).alias(y)).distinct(), y, "left_semi")
 
 
-def pin(source: str, folder: str, version: str) -> dict:
-    """Copy a local file once and note its size, hash and version; a pinned file is never overwritten, a changed one raises."""
-    to, note = Path(folder) / Path(source).name, Path(folder) / f"{Path(source).name}.json"
-    data = Path(source).read_bytes()
-    found = {"file": to.name, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest(), "version": version}
-    if note.exists():
-        pinned = json.loads(note.read_text())
-        if pinned["sha256"] != found["sha256"]:
-            raise ValueError(f"{to.name} was pinned with another content")
-        return pinned
-    to.parent.mkdir(parents=True, exist_ok=True)
-    to.write_bytes(data)
-    note.write_text(json.dumps(found))
-    return found
+def commit_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with this text, whole or not at all; False if it is there already, whoever wrote it.
+
+    The text is written beside it and renamed without overwriting, which a shared file system does in one step.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop.fs
+    to, own = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = to.getFileSystem(conf)
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(hadoop, "Options$Rename").NONE
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(own), fs.makeQualified(to), options)
+        return True
+    except Py4JJavaError as e:
+        fs.delete(own, False)
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def pin(spark: SparkSession, source: str, folder: str, version: str) -> dict:
+    """Copy a file once to a folder on shared storage and note its size, hash and version; a pinned file is never overwritten, a changed one raises.
+
+    A task reads the file and hashes it; only the hash comes to the driver. The copy is named by its hash, so writers of equal contents
+    agree, and the note is created only if there is none: of two writers the second gets the first one's note. ``source`` is one file of
+    at most 2 GB.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    hadoop = jvm.org.apache.hadoop.fs
+    content = spark.read.format("binaryFile").load(source).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    path, size, digest = content.collect()[0]
+    name = path.rsplit("/", 1)[-1]
+    copy, note = f"{folder.rstrip('/')}/{digest}/{name}", f"{folder.rstrip('/')}/{name}.json"
+    at, to = hadoop.Path(path), hadoop.Path(copy)
+    fs = to.getFileSystem(conf)
+    if not fs.exists(to):
+        part = hadoop.Path(f"{copy}.{uuid.uuid4().hex}")
+        hadoop.FileUtil.copy(at.getFileSystem(conf), at, fs, part, False, conf)
+        # Another writer of the same content may have been first.
+        if not fs.rename(part, to):
+            fs.delete(part, False)
+    found = {"file": name, "bytes": size, "sha256": digest, "version": version}
+    if commit_once(spark, note, json.dumps(found)):
+        return found
+    pinned = json.loads(spark.read.text(note, wholetext=True).first()[0])
+    if pinned["sha256"] != digest:
+        raise ValueError(f"{name} was pinned with another content")
+    return pinned
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -134,20 +173,16 @@ def append_event(spark: SparkSession, folder: str, event: dict) -> None:
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("append").text(folder)
 
 
-def latest_events(spark: SparkSession, folder: str, schema: T.StructType, key: list[str], at: str) -> DataFrame:
-    """The newest event of each key."""
-    events = spark.read.schema(schema).json(folder)
-    w = Window.partitionBy(*key).orderBy(F.col(at).desc_nulls_last(), F.col("event_key").desc_nulls_last())
-    return events.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
 class TableCache:
-    """DataFrames persisted by path and version, the least recently used going first."""
+    """DataFrames persisted by path and version, the least recently used going first.
+
+    A path whose version can't be read is read anew once a ``bucket`` of seconds, by ``clock``.
+    """
 
-    def __init__(self, spark: SparkSession, size: int = 32):
-        self.spark, self.size, self.held = spark, size, {}
+    def __init__(self, spark: SparkSession, size: int = 32, bucket: int = 300, clock: Callable[[], float] = time.time):
+        self.spark, self.size, self.bucket, self.clock, self.held = spark, size, bucket, clock, {}
 
-    def version(self, path: str) -> str:
+    def stamp(self, path: str) -> str:
         """The newest change and the total size of the files at a path, through the store's own file system."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -155,6 +190,15 @@ class TableCache:
         found = [(s.getModificationTime(), s.getLen()) for s in fs.listStatus(at)]
         return f"{max((t for t, _ in found), default=0)}-{sum(n for _, n in found)}"
 
+    def version(self, path: str) -> str:
+        try:
+            return self.stamp(path)
+        except Py4JError:
+            return f"unread:{int(self.clock() // self.bucket)}"
+
+    def read(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(path)
+
     def get(self, path: str) -> DataFrame:
         version = self.version(path)
         if path in self.held and self.held[path][0] == version:
@@ -162,7 +206,7 @@ class TableCache:
             return self.held[path][1]
         if path in self.held:
             self.held.pop(path)[1].unpersist()
-        df = self.spark.read.parquet(path).persist()
+        df = self.read(path).persist()
         self.held[path] = version, df
         while len(self.held) > self.size:
             self.held.pop(next(iter(self.held)))[1].unpersist()

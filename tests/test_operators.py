@@ -112,11 +112,11 @@ def both(pairs):
 def test_random_walk_keeps_its_mass(spark):
     e = spark.createDataFrame(both([(1, 2), (2, 3), (3, 4), (4, 1), (4, 5)]), "x_index long, y_index long")
     seeds = spark.createDataFrame([(1, 1), (2, 3), (2, 5), (3, 99)], "walk_id long, node long")
-    got = features.random_walk(e, seeds).collect()
+    got = features.random_walk(e, seeds, alpha=0.5, floor=0.0).collect()
     for walk in (1, 2):
-        assert abs(sum(r["score"] for r in got if r["walk_id"] == walk) - 1) < 1e-9
+        assert abs(sum(r["score"] for r in got if r["walk_id"] == walk) - 1) < 1e-6
     assert {r["walk_id"] for r in got} == {1, 2}
-    held = features.held_out_walk(e, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "gene_index long, disease_index long"), folds=2, gate=2)
+    held = features.held_out_walk(e, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "gene_index long, disease_index long"), folds=2, gate=2, alpha=0.5)
     assert held.count() == held.select("gene_index", "disease_index").distinct().count()
 
 
@@ -266,15 +266,41 @@ def _plain_walk(edges, seeds, alpha=0.85, rounds=2000):
     return score if seeds else {}
 
 
-@pytest.mark.parametrize("local_edges", [1 << 25, 0])
-def test_random_walk_is_the_plain_one(spark, local_edges):
-    edges, frame = _random_graph(spark)
-    seeds = [(1, 0), (1, 10), (2, 390), (2, 5), (3, 7), (4, edges[0][0])]
-    got = features.random_walk(frame, spark.createDataFrame(seeds, "walk_id long, node long"), local_edges=local_edges).collect()
-    for walk in (1, 2, 3, 4):
-        want = _plain_walk(edges, [n for w, n in seeds if w == walk], rounds=400)
-        have = {r["node"]: r["score"] for r in got if r["walk_id"] == walk}
-        assert all(abs(have.get(n, 0) - v) < 1e-6 for n, v in want.items()) and bool(have) == bool(want)
+@pytest.mark.parametrize("walks_in_a_row", [16, 2])
+def test_random_walk_is_the_plain_one(spark, walks_in_a_row, monkeypatch):
+    """On a graph of several parts, one of them a pair of nodes; only scores above 1/n leave unless another floor is given."""
+    from lodegraph.operators import walks
+
+    monkeypatch.setattr(walks, "WALKS", walks_in_a_row)
+    edges, _ = _random_graph(spark)
+    edges = edges + [(9000, 9010), (9010, 9000)]
+    frame = spark.createDataFrame(edges, "x_index long, y_index long")
+    n = len({x for x, _ in edges})
+    seeds = [(1, 0), (1, 10), (2, 390), (2, 5), (3, 7), (4, edges[0][0]), (5, 9000), (5, edges[3][0])]
+    given = spark.createDataFrame(seeds, "walk_id long, node long")
+    walk = features.random_walk(frame, given, alpha=0.6, floor=0.0).cache()
+    every, above = walk.collect(), walk.where(F.col("score") > 1 / n).collect()
+    for k in (1, 2, 3, 4, 5):
+        want = _plain_walk(edges, [x for w, x in seeds if w == k], alpha=0.6, rounds=400)
+        have = {r["node"]: r["score"] for r in every if r["walk_id"] == k}
+        assert all(abs(have.get(x, 0) - v) < 1e-6 for x, v in want.items()) and bool(have) == bool(want)
+        assert {r["node"] for r in above if r["walk_id"] == k} == {x for x, v in want.items() if v > 1 / n}
+
+
+def test_triangle_and_a_separate_edge(spark):
+    """Nodes that no seed leads to have no row; a held-out seed that stands alone in its part keeps one."""
+    frame = spark.createDataFrame(both([(1, 2), (2, 3), (3, 1), (4, 5)]), "x_index long, y_index long")
+    got = features.random_walk(frame, spark.createDataFrame([(1, 1)], "walk_id long, node long"), alpha=0.5, floor=0.0)
+    assert {r["node"] for r in got.collect()} == {1, 2, 3}
+    assoc = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 7)], "gene_index long, disease_index long")
+    held = {r["gene_index"]: r["score"] for r in features.held_out_walk(frame, assoc, folds=97, gate=2, alpha=0.5).collect()}
+    assert set(held) >= {1, 2, 3, 4} and held[4] < 1e-6
+
+
+def test_a_walk_that_cannot_settle_raises(spark):
+    frame = spark.createDataFrame(both([(1, 2)]), "x_index long, y_index long")
+    with pytest.raises(ValueError, match="settle"):
+        features.random_walk(frame, spark.createDataFrame([(1, 1)], "walk_id long, node long"), max_rounds=20)
 
 
 def test_held_out_walk_leaves_a_seed_s_fold_out(spark):
@@ -282,20 +308,25 @@ def test_held_out_walk_leaves_a_seed_s_fold_out(spark):
     genes = sorted({x for x, _ in edges})[:12]
     assoc = spark.createDataFrame([(g, 7) for g in genes] + [(genes[0], 8)], "gene_index long, disease_index long")
     fold = {r[0]: r[1] for r in assoc.where("disease_index = 7").selectExpr("gene_index", "pmod(xxhash64(gene_index, disease_index), 3)").collect()}
-    got = {r["gene_index"]: r["score"] for r in features.held_out_walk(frame, assoc, folds=3, gate=5).collect()}
-    every, n = _plain_walk(edges, genes, rounds=400), len({x for x, _ in edges})
-    parts = {f: _plain_walk(edges, [g for g in genes if fold[g] != f], rounds=400) for f in set(fold.values())}
+    got = {r["gene_index"]: r["score"] for r in features.held_out_walk(frame, assoc, folds=3, gate=5, alpha=0.5).collect()}
+    every, n = _plain_walk(edges, genes, alpha=0.5, rounds=400), len({x for x, _ in edges})
+    parts = {f: _plain_walk(edges, [g for g in genes if fold[g] != f], alpha=0.5, rounds=400) for f in set(fold.values())}
     want = {g: parts[fold[g]][g] for g in genes} | {x: v for x, v in every.items() if x not in fold and v > 1 / n}
     assert set(got) == set(want) and all(abs(got[g] - v) < 1e-6 for g, v in want.items())
 
 
-@pytest.mark.parametrize("local_edges", [1 << 25, 0])
-def test_proximity_is_the_plain_search(spark, local_edges):
+@pytest.mark.parametrize("small", [False, True])
+def test_proximity_is_the_plain_search(spark, small, monkeypatch):
     import math
 
+    from lodegraph.operators import walks
+
+    if small:
+        for name, value in (("WORDS", 1), ("CELL_NODES", 7), ("CELL_SEEDS", 4), ("GATHERED", 20)):
+            monkeypatch.setattr(walks, name, value)
     edges, frame = _random_graph(spark, nodes=60, edges=80, seed=8)
     nodes = sorted({x for x, _ in edges})
-    modules = {1: nodes[:9], 2: nodes[20:26] + [5], 3: nodes[:2]}
+    modules = {1: nodes[:9], 2: nodes[5:26] + [5], 3: nodes[:2], 4: nodes}
     assoc = spark.createDataFrame([(g, d) for d, gs in modules.items() for g in gs], "gene_index long, disease_index long")
     near = {}
     for a in nodes:
@@ -312,7 +343,7 @@ def test_proximity_is_the_plain_search(spark, local_edges):
             steps = [near[g][x] for g in gs if g in near and near[g].get(x, 0) > 0]
             if steps:
                 want[x, d] = (min(steps), sum(steps) / len(steps), sum(math.exp(-s) for s in steps), len(steps))
-    got = {(r["gene_index"], r["disease_index"]): tuple(r[2:]) for r in features.proximity(frame, assoc, gate=3, local_edges=local_edges).collect()}
+    got = {(r["gene_index"], r["disease_index"]): tuple(r[2:]) for r in features.proximity(frame, assoc, gate=3).collect()}
     assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
 
 
