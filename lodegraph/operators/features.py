@@ -156,15 +156,19 @@ def proximity(ppi: DataFrame, assoc: DataFrame, gate: int = GATE, min_seeds: int
 def random_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300, floor: float | None = None) -> DataFrame:
     """(walk_id, node, score) above ``floor``, 1/n if none is given: random walk with restart at each walk's seeds.
 
-    edges hold both directions; seeds: (walk_id, node). A walk starts uniform over all n nodes, and goes on until a round changes it by
-    less than n times the tolerance. A walk's seeds without edges don't count; a walk without any other has no rows. Nodes that
-    no seed leads to are left with less than that change and have no rows.
+    Edges count in both directions and once; seeds: (walk_id, node). Scores are settled: the walk goes on until what is left to change adds
+    up to less than n times the tolerance, so where it started makes no difference. A walk's seeds without edges don't count; a walk
+    without any other has no rows, nor have nodes that no seed leads to.
     """
-    simple = written(edges.select("x_index", "y_index").distinct())
+    simple = written(_both_ways(edges))
     inside = seeds.join(simple.select(F.col("x_index").alias("node")).distinct(), "node", "left_semi").distinct()
-    score, rest, n = walks.power_iteration(simple, inside, alpha, tolerance, max_rounds)
-    whole = score.join(rest, "node").select("walk_id", "node", (F.col("score") + F.col("rest")).alias("score"))
-    return whole.where(F.col("score") > (1 / max(n, 1) if floor is None else floor))
+    score, n = walks.restarts(simple, inside, alpha, tolerance, max_rounds)
+    return score.where(F.col("score") > (1 / max(n, 1) if floor is None else floor))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    one = edges.select("x_index", "y_index")
+    return one.unionAll(one.select(F.col("y_index").alias("x_index"), F.col("x_index").alias("y_index"))).distinct()
 
 
 def held_out_walk(edges: DataFrame, assoc: DataFrame, folds: int = 5, gate: int = GATE, alpha: float = 0.85, tolerance: float = 1e-9, max_rounds: int = 300) -> DataFrame:
@@ -173,19 +177,19 @@ def held_out_walk(edges: DataFrame, assoc: DataFrame, folds: int = 5, gate: int
     Every seed with edges has a row, even one that no other seed leads to, if its walk has other seeds. Folds come from a hash of the
     pair, not from a shuffled order.
     """
-    assoc, simple = written(assoc), written(edges.select("x_index", "y_index").distinct())
+    assoc, simple = written(assoc), written(_both_ways(edges))
     inside = assoc.join(module_size(assoc, gate).select("disease_index"), "disease_index").join(simple.select(F.col("x_index").alias("gene_index")).distinct(), "gene_index", "left_semi")
     seeds = written(inside.select("gene_index", "disease_index", F.pmod(F.xxhash64("gene_index", "disease_index"), F.lit(folds)).alias("fold")))
     walk_id = lambda d, f: d * (folds + 1) + f
     full = seeds.select(walk_id(F.col("disease_index"), F.lit(folds)).alias("walk_id"), F.col("gene_index").alias("node"))
     left = seeds.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("f <> fold").select(walk_id(F.col("disease_index"), F.col("f")).alias("walk_id"), F.col("gene_index").alias("node"))
     restarts = full.unionAll(left)
-    score, rest, n = walks.power_iteration(simple, restarts, alpha, tolerance, max_rounds)
+    score, n = walks.restarts(simple, restarts, alpha, tolerance, max_rounds)
     own = seeds.select("gene_index", "disease_index", walk_id(F.col("disease_index"), F.col("fold")).alias("walk_id"), F.col("gene_index").alias("node"))
-    own = own.join(left.select("walk_id").distinct(), "walk_id", "left_semi").join(rest, "node").join(score, ["walk_id", "node"], "left")
-    own = own.select("gene_index", "disease_index", (F.coalesce("score", F.lit(0.0)) + F.col("rest")).alias("score"))
-    others = score.where(F.col("walk_id") % (folds + 1) == folds).join(rest, "node").select(F.col("node").alias("gene_index"), F.expr(f"walk_id div {folds + 1}").alias("disease_index"), (F.col("score") + F.col("rest")).alias("score"))
-    others = others.where(F.col("score") > 1 / max(n, 1)).join(seeds, ["gene_index", "disease_index"], "left_anti")
+    own = own.join(left.select("walk_id").distinct(), "walk_id", "left_semi").join(score, ["walk_id", "node"], "left")
+    own = own.select("gene_index", "disease_index", F.coalesce("score", F.lit(0.0)).alias("score"))
+    others = score.where((F.col("walk_id") % (folds + 1) == folds) & (F.col("score") > 1 / max(n, 1)))
+    others = others.select(F.col("node").alias("gene_index"), F.expr(f"walk_id div {folds + 1}").alias("disease_index"), "score").join(seeds, ["gene_index", "disease_index"], "left_anti")
     return own.unionAll(others)
 
 
