@@ -62,7 +62,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
-def _sketched(base: DataFrame, n: int) -> DataFrame:
+def sketched(base: DataFrame, n: int) -> DataFrame:
     """base with size, set_key and prefix: the first shingles by hash, given once a task for each set."""
 
     def make():
@@ -97,12 +97,12 @@ def _with_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 class Index:
-    """Inverted lists over the documents of one search, and links as one label a document.
+    """Inverted lists over the documents of one search, and links as one label a document, equal at first for equal roots.
 
     Documents stand by rising size, so a partner further on is no smaller and the bound on shared shingles is that of its size.
     """
 
-    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray]):
+    def __init__(self, sizes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray):
         order = np.lexsort((np.arange(len(sizes)), sizes))
         self.order, self.sizes = order, sizes[order].tolist()
         lengths = np.array([len(sets[k]) for k in order])
@@ -117,7 +117,7 @@ class Index:
         shared = (np.diff(self.start) > 1)[number] if len(first) else np.zeros(0, bool)
         back = np.argsort(self.owner[shared], kind="stable")
         self.lists = np.split(number[shared][back], np.cumsum(np.bincount(self.owner[shared], minlength=len(order)))[:-1]) if len(order) else []
-        self.label = np.arange(len(order))
+        self.label = np.unique(roots[order], return_inverse=True)[1]
 
     def join(self, a: int, b: int) -> None:
         low, high = sorted((self.label[a], self.label[b]))
@@ -135,13 +135,14 @@ class Index:
         need = least - n_long
         short, long = numbers[: len(numbers) - n_long], numbers[len(numbers) - n_long :]
         # Short lists without documents that are linked to q already.
-        merged = []
-        for k in short.tolist():
-            there = self.owner[self.start[k] : self.start[k + 1]]
-            there = there[(there > q) & (self.label[there] != self.label[q])]
-            if len(there):
-                merged.append(there.tolist())
-        return self._merge(q, merged, need, long)
+        slices = [self.owner[self.start[k] : self.start[k + 1]] for k in short.tolist()]
+        ends, there = np.cumsum([len(x) for x in slices]), np.concatenate(slices)
+        open_ = np.flatnonzero((there > q) & (self.label[there] != self.label[q]))
+        if len(open_) < need:
+            return []
+        of_list = np.searchsorted(ends, open_, "right")
+        cuts = np.flatnonzero(np.diff(of_list)) + 1
+        return self._merge(q, [x.tolist() for x in np.split(there[open_], cuts)], need, long)
 
     def _merge(self, q: int, merged: list[list[int]], need: int, long: np.ndarray) -> list[int]:
         """Heap-merge of the short lists; what stands in ``need`` of them is probed for in the long ones. Lists skip ahead where too few can agree."""
@@ -170,22 +171,18 @@ class Index:
         return found
 
     def _probed(self, q: int, other: int, shared: int, long: np.ndarray) -> bool:
-        """Whether the long lists that hold ``other`` bring the shared shingles to what both sizes ask."""
+        """Whether the long lists that hold ``other``, found by binary search, bring the shared shingles to what both sizes ask."""
         wanted = -(-4 * (self.sizes[q] + self.sizes[other]) // 9)
-        left = len(long)
-        for k in long.tolist():
-            if shared >= wanted or shared + left < wanted:
-                break
-            there = self.owner[self.start[k] : self.start[k + 1]]
-            at = int(np.searchsorted(there, other))
-            shared += at < len(there) and there[at] == other
-            left -= 1
+        if shared < wanted <= shared + len(long):
+            held = self.lists[other]
+            at = np.minimum(np.searchsorted(held, long), len(held) - 1)
+            shared += int(np.count_nonzero(held[at] == long))
         return shared >= wanted
 
 
-def links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Linked pairs whose components are those of all linked pairs of these documents."""
-    index, a, b = Index(sizes, sets), [], []
+def links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Linked pairs that, with what equal roots connect, have the components of all linked pairs of these documents."""
+    index, a, b = Index(sizes, sets, nodes if roots is None else roots), [], []
     for q in range(len(nodes)):
         for other in index.search(q):
             a.append(int(nodes[index.order[q]]))
@@ -194,34 +191,42 @@ def links_of(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> tu
 
 
 def _searched(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """(a, b) of (*cell, node, size, set): the links within each cell, cells one after another in a task."""
+    """(a, b) of (*cell, node, root, size, set): the links between different roots within each cell, cells one after another in a task."""
 
     def run(batches):
-        here, held = None, ([], [], [])
+        here, held = None, ([], [], [], [])
 
         def done():
-            a, b = links_of(np.array(held[0], np.int64), np.array(held[1], np.int64), held[2])
+            a, b = links_of(np.array(held[0], np.int64), np.array(held[2], np.int64), held[3], np.array(held[1], np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             keys = list(zip(*[batch.column(k).to_pylist() for k in range(len(cell))], strict=True))
-            nodes, sizes, sets = (batch.column(len(cell) + k) for k in range(3))
+            nodes, roots, sizes, sets = (batch.column(len(cell) + k) for k in range(4))
             for k, key in enumerate(keys):
                 if key != here:
                     if len(held[0]) > 1:
                         yield done()
-                    here, held = key, ([], [], [])
-                held[0].append(nodes[k].as_py())
-                held[1].append(sizes[k].as_py())
-                held[2].append(sets[k].values.to_numpy())
+                    here, held = key, ([], [], [], [])
+                for column, value in zip(held, (nodes[k].as_py(), roots[k].as_py(), sizes[k].as_py(), sets[k].values.to_numpy()), strict=True):
+                    column.append(value)
         if len(held[0]) > 1:
             yield done()
 
-    return rows.select(*cell, "node", "size", "set").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
+    return rows.select(*cell, "node", "root", "size", "set").repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
+
+
+def _cut(rows: DataFrame, by: str) -> DataFrame:
+    """rows (``by``, node, m, ...) with ``cuts``, the number of blocks that its key's documents make, and ``own``, the block of the node."""
+    cuts = F.ceil(F.greatest(F.count("*") / (CELL_ROWS / 2), F.sum("m") / (CELL_SHINGLES / 2))).cast("int")
+    return rows.join(rows.groupBy(by).agg(cuts.alias("cuts")), by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
 
 
-def _links(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
-    """(a, b) over keys of sets: linked pairs whose components are those of all pairs of similarity 0.8 or more."""
+def links(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
+    """(a, b) over keys of sets: linked pairs whose components are those of all pairs of similarity 0.8 or more.
+
+    base: (row, text); sketches: (row, size, set_key, prefix) of its rows, written.
+    """
     # Sets that could have a partner: enough of their first shingles stand in other sets' first ones.
     rows = sketches.where("size > 0").select(F.explode("prefix").alias("key"), F.col("set_key").alias("node"), "size")
     shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
@@ -248,17 +253,25 @@ def _links(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
     members = materialize(families.join(nodes.select("node", F.size("set").alias("m")), "node"))
     fits = (F.col("rows") <= CELL_ROWS) & (F.col("m") <= CELL_SHINGLES)
     sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("m").alias("m"))
-    whole = members.join(sizes.where(fits).select("root"), "root").select(F.col("root").alias("cell"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "node")
-    # Of larger ones each key has a search of its own, or one for each pair of blocks of its documents.
-    wide = keys.join(members.join(sizes.where(~fits).select("root"), "root").select("node"), "node").select("key", "node", "m")
-    cuts = F.ceil(F.greatest(F.count("*") / (CELL_ROWS / 2), F.sum("m") / (CELL_SHINGLES / 2))).cast("int")
-    cut = wide.join(wide.groupBy("key").agg(cuts.alias("cuts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-    parts = cut.select("key", "node", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("k"))
-    single = parts.select(F.col("key").alias("cell"), F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "node")
-    cells = whole.unionByName(single).join(nodes, "node")
-    found = materialize(_searched(cells, ["cell", "i", "j"]).distinct())
-    release(keys, members, nodes)
-    return found
+    whole = members.join(sizes.where(fits).select("root"), "root").select(F.col("root").alias("cell"), F.lit(0).alias("i"), "node")
+    # Of larger ones each document first goes to one search, that of its first key, with the least document of the key.
+    wide = materialize(keys.join(members.join(sizes.where(~fits).select("root"), "root").select("node"), "node"))
+    one = wide.join(wide.groupBy("node").agg(F.min(F.xxhash64("key")).alias("h")), "node").where(F.xxhash64("key") == F.col("h")).drop("h")
+    one = _cut(one, "key")
+    hubs = one.select("key", "own", F.col("lo").alias("node")).distinct()
+    placed = one.select("key", "own", "node").unionByName(hubs).distinct().select(F.col("key").alias("cell"), (F.col("own") + 1).alias("i"), "node")
+    cells = whole.unionByName(placed).join(nodes, "node").withColumn("root", F.col("node"))
+    found = materialize(_searched(cells, ["cell", "i"]).distinct())
+
+    # Keys whose documents are still apart: every pair of blocks of a key, in which documents of one component aren't compared again.
+    rooted = wide.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    still = _cut(materialize(rooted.join(apart, "key")), "key")
+    parts = still.select("key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("k"))
+    pairs = parts.select("key", "node", "root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")).join(nodes, "node")
+    more = materialize(_searched(pairs, ["key", "i", "j"]).distinct())
+    release(keys, members, nodes, wide)
+    return found.unionByName(more)
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
@@ -272,10 +285,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     of it are null. Repeated rows come back repeated. An empty table gives none. Other columns aren't returned.
     """
     base = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    sketches = materialize(_sketched(base, n).drop("text"))
-    links = connected_components(_links(base.select("row", "text"), sketches, n))
+    sketches = materialize(sketched(base, n).drop("text"))
+    roots = connected_components(links(base.select("row", "text"), sketches, n))
     classes = sketches.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
-    rooted = classes.join(links.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    rooted = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("set_key", "component_id")
     every = sketches.select("doc_id", "size", "set_key").join(named, "set_key", "left")
