@@ -80,18 +80,25 @@ def panel_report(scored: DataFrame, panel: DataFrame, tractable: DataFrame, trut
     return per.withColumns(out).drop("__s", "__head")
 
 
+#: Terms of a panel, at most.
+PANEL_TERMS = 10_000
+
+
 def panel_pairs(scored: DataFrame, panel: DataFrame, score: str = "proba", k: int = 50) -> DataFrame:
     """Per pair of panel terms: genes that their first k share, novel ones and all, and whether the lists are distinct.
 
-    Shared genes are found through the genes of the lists, at most 2 k rows a term; pairs that share none come from the panel.
+    Shared genes are found through the genes of the lists, at most 2 k rows a term; pairs that share none come from the panel, a chosen
+    list of at most PANEL_TERMS terms.
     """
     rows = _panel_rows(scored, panel, score)
     lists = [rows.where(F.col(c) <= k).select("disease_index", "gene_index", F.lit(c == "novel_rank").alias("novel")) for c in ("novel_rank", "rank")]
     top = lists[0].unionAll(lists[1])
     left, right = top.withColumnRenamed("disease_index", "a"), top.withColumnRenamed("disease_index", "b")
     shared = left.join(right, ["gene_index", "novel"]).where("a < b").groupBy("a", "b").agg(F.count_if("novel").alias("__n"), F.count_if(~F.col("novel")).alias("__a"))
-    terms = rows.select("disease_index").distinct()
-    every = terms.select(F.lit(1).alias("one"), F.col("disease_index").alias("a")).join(terms.select(F.lit(1).alias("one"), F.col("disease_index").alias("b")), "one").where("a < b")
+    terms = rows.select(F.col("disease_index").alias("a")).distinct()
+    if terms.count() > PANEL_TERMS:
+        raise ValueError(f"a panel has at most {PANEL_TERMS} terms")
+    every = terms.join(F.broadcast(terms.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))
     out = every.join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("__n", F.lit(0)).alias("novel_overlap"), F.coalesce("__a", F.lit(0)).alias("all_overlap"))
     share = lambda c: 100.0 * F.col(c) / k
     return out.withColumns({"novel_overlap_pct": share("novel_overlap"), "all_overlap_pct": share("all_overlap"), "distinct": (F.col("novel_overlap") <= k * 0.25).cast("long")})
