@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, col, texts_of
+from .common import append_columns, col, materialize, texts_of
 
 #: Bytes of benchmark text of a broadcast block, about, and bytes of its index, at most: a block whose measured index is larger is
 #: split again. A larger benchmark is scanned in several blocks.
 BLOCK_BYTES, INDEX_BYTES = 16 << 20, 192 << 20
+#: Blocks that documents pass in one stage.
+STAGE_BLOCKS = 4
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: A-Z become a-z; bytes of words stay, all others are blanks. Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _TABLE = bytes(b if b >= 0x80 or b in _KEEP else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -113,17 +115,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
     """docs with n_words, n_hit, hit_mask (a bit for each word, most significant first) and hit_items (sorted).
 
     The benchmark is collected in blocks of about ``block_bytes`` of text, as many as its measured size asks for; a block whose
-    index comes out above ``index_bytes`` is split in two. Documents pass all blocks in one stage; masks and items of the
-    blocks are united. Nothing is shuffled.
+    index comes out above ``index_bytes`` is split in two. Documents pass STAGE_BLOCKS blocks in a stage, after which they are written; masks and
+    items of the blocks are united. Only equal items of the benchmark are shuffled, to count once.
     Null or empty text: no words, no hits. Items without words match nothing; items shorter than n words are one window.
     Items that share an id count once; an item whose id is null matches, but isn't listed. Columns with these names are replaced.
     """
-    named = benchmark.select(col(item_id).alias("item"), col(item_text).alias("body")).where("body is not null")
+    named = benchmark.select(col(item_id).alias("item"), col(item_text).alias("body")).where("body is not null").distinct()
     size = named.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     id_type = dict((f.name, f.dataType) for f in named.schema.fields)["item"]
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_mask", T.BinaryType()), T.StructField("hit_items", T.ArrayType(id_type))]
-    out, sc, first = docs.drop(*[f.name for f in fields]), docs.sparkSession.sparkContext, True
+    out, sc, done = docs.drop(*[f.name for f in fields]), docs.sparkSession.sparkContext, 0
     waiting = [(blocks, k) for k in reversed(range(blocks))]
     while waiting:
         of, k = waiting.pop()
@@ -133,8 +135,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text",
         if index.nbytes() > index_bytes and len(items) > 1:
             waiting += [(2 * of, k + of), (2 * of, k)]
             continue
-        out = _scan_block(out, sc.broadcast(index), fields, text, id_type, first)
-        first = False
+        # Each block has a worker of its own in every task; what some blocks found is written before the next ones.
+        if done and done % STAGE_BLOCKS == 0:
+            out = materialize(out)
+        out = _scan_block(out, sc.broadcast(index), fields, text, id_type, not done)
+        done += 1
     return out
 
 
