@@ -293,17 +293,17 @@ def _(r):
     return sets.attach_node_index(edges, r.indexed()).select("x_index", "y_index")
 
 
-_EDGES = "SELECT CAST(l_partkey AS VARCHAR) AS x_id, 'gene' AS x_type, 'A' AS x_source, CAST(l_suppkey AS VARCHAR) AS y_id, 'path' AS y_type, 'B' AS y_source, l_returnflag AS relation, l_linestatus AS display_relation FROM lineitem WHERE l_linenumber <= 2"
-_NAMES = "SELECT 'gene' AS node_type, CAST(p_partkey AS VARCHAR) AS node_id, p_brand AS node_name FROM part WHERE p_size > 10 UNION ALL SELECT 'path', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END FROM supplier"
+_EDGES = "SELECT CAST(l_partkey AS VARCHAR) AS x_id, 'gene' AS x_type, 'A' AS x_source, CAST(l_suppkey AS VARCHAR) AS y_id, 'path' AS y_type, 'B' AS y_source, l_returnflag AS relation, l_linestatus AS display_relation FROM lineitem"
+_NAMES = "SELECT 'gene' AS node_type, CAST(p_partkey AS VARCHAR) AS node_id, CASE WHEN p_size > 10 THEN p_brand END AS node_name FROM part UNION ALL SELECT 'path', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END FROM supplier"
 
 
 def _edges(r):
     s = lambda c: F.col(c).cast("string")
-    return r.table("lineitem").where("l_linenumber <= 2").select(s("l_partkey").alias("x_id"), F.lit("gene").alias("x_type"), F.lit("A").alias("x_source"), s("l_suppkey").alias("y_id"), F.lit("path").alias("y_type"), F.lit("B").alias("y_source"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("display_relation"))
+    return r.table("lineitem").select(s("l_partkey").alias("x_id"), F.lit("gene").alias("x_type"), F.lit("A").alias("x_source"), s("l_suppkey").alias("y_id"), F.lit("path").alias("y_type"), F.lit("B").alias("y_source"), F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("display_relation"))
 
 
 def _names(r):
-    genes = r.table("part").where("p_size > 10").select(F.lit("gene").alias("node_type"), F.col("p_partkey").cast("string").alias("node_id"), F.col("p_brand").alias("node_name"))
+    genes = r.table("part").select(F.lit("gene").alias("node_type"), F.col("p_partkey").cast("string").alias("node_id"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("node_name"))
     paths = r.table("supplier").select(F.lit("path").alias("node_type"), F.col("s_suppkey").cast("string").alias("node_id"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("node_name"))
     return genes.unionAll(paths).withColumn("priority", F.lit(0))
 
@@ -372,9 +372,9 @@ def _(r):
     return joins.flag_members(r.scored(), r.truth(), joins.PAIR, "is_known").select(*joins.PAIR, "is_known")
 
 
-@query("j10_two_key_join", "scored routes", "SELECT s.disease_index, s.gene_index, proba, dwpc_ggd FROM scored s JOIN routes r ON s.disease_index = r.disease_index AND s.gene_index = r.gene_index WHERE dwpc_ggd > 0.05")
+@query("j10_two_key_join", "scored routes", "SELECT s.disease_index, s.gene_index, proba, dwpc_ggd FROM scored s JOIN routes r ON s.disease_index = r.disease_index AND s.gene_index = r.gene_index")
 def _(r):
-    return r.scored().join(r.routes(), joins.PAIR).where("dwpc_ggd > 0.05").select(*joins.PAIR, "proba", "dwpc_ggd")
+    return r.scored().join(r.routes(), joins.PAIR).select(*joins.PAIR, "proba", "dwpc_ggd")
 
 
 @query("j11_semi_anti", "truth routes", """
@@ -401,19 +401,19 @@ def _(r):
 
 
 @query("j14_assemble", "scored routes truth", """
-WITH idx AS (SELECT disease_index, gene_index FROM scored WHERE qty > 40 UNION SELECT disease_index, gene_index FROM routes WHERE dwpc_gcd IS NOT NULL UNION SELECT disease_index, gene_index FROM truth)
-SELECT i.disease_index, i.gene_index, s.proba, r.dwpc_gcd, t.known FROM idx i LEFT JOIN (SELECT * FROM scored WHERE qty > 40) s ON i.disease_index = s.disease_index AND i.gene_index = s.gene_index
+WITH idx AS (SELECT disease_index, gene_index FROM scored UNION SELECT disease_index, gene_index FROM routes WHERE dwpc_gcd IS NOT NULL UNION SELECT disease_index, gene_index FROM truth)
+SELECT i.disease_index, i.gene_index, s.proba, r.dwpc_gcd, t.known FROM idx i LEFT JOIN scored s ON i.disease_index = s.disease_index AND i.gene_index = s.gene_index
 LEFT JOIN (SELECT * FROM routes WHERE dwpc_gcd IS NOT NULL) r ON i.disease_index = r.disease_index AND i.gene_index = r.gene_index
 LEFT JOIN (SELECT *, CAST(1 AS BIGINT) AS known FROM truth) t ON i.disease_index = t.disease_index AND i.gene_index = t.gene_index""")
 def _(r):
-    tables = [r.scored().where("qty > 40").select(*joins.PAIR, "proba"), r.routes().where("dwpc_gcd is not null").select(*joins.PAIR, "dwpc_gcd"), r.truth().withColumn("known", F.lit(1).cast("long"))]
+    tables = [r.scored().select(*joins.PAIR, "proba"), r.routes().where("dwpc_gcd is not null").select(*joins.PAIR, "dwpc_gcd"), r.truth().withColumn("known", F.lit(1).cast("long"))]
     return joins.assemble_features(tables, joins.PAIR)
 
 
-@query("j15_type_filtered", "indexed", "SELECT l_orderkey, node_index FROM lineitem JOIN indexed ON node_type = 'gene/protein' AND node_id = CAST(l_partkey AS VARCHAR) WHERE l_linenumber = 7")
+@query("j15_type_filtered", "indexed", "SELECT l_orderkey, node_index FROM lineitem JOIN indexed ON node_type = 'gene/protein' AND node_id = CAST(l_partkey AS VARCHAR)")
 def _(r):
     genes = r.indexed().where("node_type = 'gene/protein'").select(F.col("node_id").cast("long").alias("l_partkey"), "node_index")
-    return r.table("lineitem").where("l_linenumber = 7").join(genes, "l_partkey").select("l_orderkey", "node_index")
+    return r.table("lineitem").join(genes, "l_partkey").select("l_orderkey", "node_index")
 
 
 @query("j16_table_diff", "scored truth", """
@@ -423,9 +423,9 @@ def _(r):
     return joins.table_diff(r.scored(), r.truth().unionByName(r.truth().where("gene_index < 9").withColumn("gene_index", -F.col("gene_index") - 1)), joins.PAIR)
 
 
-@query("j17_concept_join", "tree genes", "SELECT parent, child, a.size AS parent_size, b.size AS child_size FROM tree JOIN genes a ON parent = a.gene_index JOIN genes b ON child = b.gene_index WHERE a.size > 10 AND b.size > 10")
+@query("j17_concept_join", "tree genes", "SELECT parent, child, a.size AS parent_size, b.size AS child_size FROM tree JOIN genes a ON parent = a.gene_index JOIN genes b ON child = b.gene_index")
 def _(r):
-    g = r.genes().where("size > 10")
+    g = r.genes()
     return r.tree().join(g.select(F.col("gene_index").alias("parent"), F.col("size").alias("parent_size")), "parent").join(g.select(F.col("gene_index").alias("child"), F.col("size").alias("child_size")), "child")
 
 
