@@ -137,9 +137,9 @@ class Block:
 def quantise(embeddings: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component, a whole double. Rows whose id or vector is null, or that hold a null or
     non-finite component, go."""
-    # The scale is a power of two and floor() of a double of 2^53 or more is itself, so no step rounds; %, unlike floor(), knows no limit.
+    # The scale is a power of two, so scaling doesn't round; floor() is a long, and a double of 2^53 or more is whole itself.
     scaled = lambda x: F.lit(float(scale)) * x.cast("double")
-    v = F.transform(col(vector), lambda x: scaled(x) - F.pmod(scaled(x), F.lit(1.0)))
+    v = F.transform(col(vector), lambda x: F.when(F.abs(scaled(x)) < float(1 << 53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
     fine = F.forall(col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return embeddings.where(col(vec_id).isNotNull() & col(vector).isNotNull()).where(fine).select(col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
 
