@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import reach_counts
 from .store import connected_components, release, written
 
 
@@ -78,18 +79,14 @@ def elevate(anchors: DataFrame, edges: DataFrame, cap: int = 20) -> DataFrame:
 
 def hierarchy_annotation(nodes: DataFrame, edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per node: counts of parents, children, descendants, anchors above and below, and whether it could be an anchor."""
-    reach = closure(edges)
     count = lambda key, df, out: df.groupBy(F.col(key).alias("node")).agg(F.count("*").alias(out))
     distinct = edges.select("parent", "child").distinct()
-    parts = [
-        count("child", distinct, "n_parents"), count("parent", distinct, "n_children"), count("ancestor", reach, "n_descendants"),
-        count("descendant", reach.join(anchors.withColumnRenamed("anchor", "ancestor"), "ancestor"), "n_anchor_ancestors"),
-        count("ancestor", reach.join(anchors.withColumnRenamed("anchor", "descendant"), "descendant"), "n_anchor_descendants"),
-    ]
-    out = nodes
-    for p in parts:
-        out = out.join(p, "node", "left")
+    every = nodes.select("node").unionAll(distinct.select("parent")).unionAll(distinct.select("child")).distinct()
+    reach = reach_counts(every, distinct, {"anchor": anchors.select(F.col("anchor").alias("node"))})
     names = ["n_parents", "n_children", "n_descendants", "n_anchor_ancestors", "n_anchor_descendants"]
+    out = nodes
+    for part in (count("child", distinct, "n_parents"), count("parent", distinct, "n_children"), reach):
+        out = out.join(part, "node", "left")
     out = out.select("node", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
     return out.withColumn("antichain_ok", ((F.col("n_anchor_ancestors") == 0) & (F.col("n_anchor_descendants") == 0)).cast("long"))
 

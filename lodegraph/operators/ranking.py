@@ -72,8 +72,8 @@ def either_top(df: DataFrame, group, order: str, tie: str, subset: Column, k: in
     return both.where((F.col("rank_all") <= k) | (F.col("rank_subset") <= k))
 
 
-def running_total(df: DataFrame, order: str, measure: str, out: str, descending: bool = False) -> DataFrame:
-    """df with the sum of ``measure`` over all rows up to each in ``order`` (whose values are distinct).
+def running_totals(df: DataFrame, order: str, measures: dict[str, str], descending: bool = False) -> DataFrame:
+    """df with the sum of each measure over all rows up to each in ``order`` (whose values are distinct), under the name given for it.
 
     Rows are range-partitioned and written, added up within partitions, and what the partitions before hold (a table of one row
     a partition) is added.
@@ -82,8 +82,14 @@ def running_total(df: DataFrame, order: str, measure: str, out: str, descending:
     placed = written(df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()))
     inner = Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("__p").agg(F.sum(measure).alias("__s")).select("__p", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
-    return placed.withColumn("__within", F.sum(measure).over(inner)).join(F.broadcast(sums), "__p").withColumn(out, F.col("__within") + F.col("__before")).drop("__p", "__within", "__before")
+    sums = placed.groupBy("__p").agg(*[F.sum(m).alias(f"__s_{m}") for m in measures]).select("__p", *[F.coalesce(F.sum(f"__s_{m}").over(before), F.lit(0)).alias(f"__before_{m}") for m in measures])
+    within = placed.withColumns({f"__within_{m}": F.sum(m).over(inner) for m in measures}).join(F.broadcast(sums), "__p")
+    return within.withColumns({out: F.col(f"__within_{m}") + F.col(f"__before_{m}") for m, out in measures.items()}).drop("__p", *[f"__{x}_{m}" for m in measures for x in ("within", "before")])
+
+
+def running_total(df: DataFrame, order: str, measure: str, out: str, descending: bool = False) -> DataFrame:
+    """The same for one measure."""
+    return running_totals(df, order, {measure: out}, descending)
 
 
 def value_counts_upto(df: DataFrame, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import auc_from_ascending, hanley_mcneil_se, poisson_upper, ratio
 from .evaluate import hits, spearman
 from .joins import PAIR, flag_members
-from .ontology import closure
+from .intervals import reach_counts
 from .ranking import average_rank, rank_first
 
 
@@ -164,11 +164,13 @@ def annotated_hierarchy(nodes: DataFrame, edges: DataFrame, anchors: DataFrame,
     """The 27 columns of a disease hierarchy's annotation.
 
     nodes: node, node_id, name, node_source; edges: parent, child; anchors: anchor, doid, label; modules: node, module_size;
-    family: node, anchor, depth. Counts of ancestors and descendants are over the whole closure. Names are joined by " | " in
+    family: node, anchor, depth. Counts of ancestors and descendants come from interval labels. Names are joined by " | " in
     order and cut to 400 (parents) and 300 (anchor children) characters, as the page shows them.
     """
     eligible = modules.where(F.col("module_size") >= gate).select("node", F.lit(1).alias("eligible"))
-    reach, direct = closure(edges).select(F.col("ancestor").alias("parent"), F.col("descendant").alias("child")).distinct(), edges.select("parent", "child").distinct()
+    direct = edges.select("parent", "child").distinct()
+    every = nodes.select("node").unionAll(direct.select("parent")).unionAll(direct.select("child")).distinct()
+    reach = reach_counts(every, direct, {"eligible": eligible, "anchor": anchors.select(F.col("anchor").alias("node"))})
     of = lambda df, key, *by: df.select(F.col("node" if "node" in df.columns else "anchor").alias(key), *by)
     is_anchor = anchors.select("anchor", F.lit(1).alias("anchored"), "label")
     names = nodes.select("node", "name")
@@ -183,11 +185,10 @@ def annotated_hierarchy(nodes: DataFrame, edges: DataFrame, anchors: DataFrame,
     up = direct.join(of(names, "parent", "name"), "parent", "left").groupBy(F.col("child").alias("node")).agg(
         F.count("*").alias("n_parents"), F.substring(F.array_join(F.array_sort(F.collect_list("name")), " | "), 1, 400).alias("parent_names")
     )
-    above = reach.join(of(is_anchor, "parent", "anchored"), "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n_anchor_ancestors"))
     tops = names.select(F.col("node").alias("family_id"), F.col("name").alias("family_name")).join(anchors.select(F.col("anchor").alias("family_id"), F.col("label").alias("anchor_name")), "family_id", "left")
     out = nodes.join(modules, "node", "left").join(eligible, "node", "left").join(anchors.withColumnRenamed("anchor", "node"), "node", "left")
     out = out.join(family.select("node", F.col("anchor").alias("family_id"), F.col("depth").alias("hop_depth")), "node", "left").join(tops, "family_id", "left")
-    for part in (below(direct, "children"), below(reach, "descendants").drop("anchor_descendants_names"), up, above):
+    for part in (below(direct, "children"), reach, up):
         out = out.join(part, "node", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     flag = lambda c: c.cast("long")

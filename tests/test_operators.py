@@ -109,6 +109,41 @@ def test_anchors_of_a_deep_chain_and_a_diamond(spark):
     assert got[101] == (99, 1) and got[103] == (102, 1) and got[102] == (102, 0) and got[500] == (500, None) and len(got) == 37
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2, 3])
+def test_interval_counts_are_those_of_a_plain_search(spark, seed, monkeypatch):
+    """Random DAGs, with edges that skip levels and share children; on a tree no added interval is made."""
+    import random
+
+    from lodegraph.operators import intervals
+
+    rng = random.Random(seed)
+    if seed is None:
+        edges = [((i - 1) // 3, i) for i in range(1, 60)]
+    else:
+        edges = sorted({(rng.randrange(max(0, b - 25), b), b) for b in range(1, 60) for _ in range(rng.choice([0, 1, 1, 2, 3]))})
+    below = {}
+    for n in reversed(range(62)):
+        below[n] = set().union(*[{b} | below[b] for a, b in edges if a == n]) if n < 60 else set()
+    marks = {"anchor": set(range(4, 60, 7)), "other": set(range(0, 60, 3))}
+    frames = {c: spark.createDataFrame([(x,) for x in sorted(m)], "node long") for c, m in marks.items()}
+    seen, kept = [], intervals._kept
+    monkeypatch.setattr(intervals, "_kept", lambda df: seen.append(df) or kept(df))
+    got = {r["node"]: r for r in intervals.reach_counts(spark.range(62).withColumnRenamed("id", "node"), spark.createDataFrame(edges, "parent long, child long"), frames).collect()}
+    assert len(got) == 62
+    for n in range(62):
+        assert got[n]["n_descendants"] == len(below[n])
+        for c, m in marks.items():
+            assert got[n][f"n_{c}_descendants"] == len(below[n] & m) and got[n][f"n_{c}_ancestors"] == sum(n in below[a] for a in m)
+    if seed is None:
+        assert len(seen) == 1 and seen[0].isEmpty()
+
+
+def test_a_cycle_of_parents_raises(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long")
+    with pytest.raises(ValueError, match="cycle"):
+        ontology.hierarchy_annotation(spark.createDataFrame([(1,)], "node long"), edges, spark.createDataFrame([], "anchor long"))
+
+
 def test_closure_deeper_than_its_bound_raises(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "parent long, child long")
     assert ontology.closure(edges, max_depth=12).count() == 78
