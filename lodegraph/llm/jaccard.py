@@ -222,8 +222,8 @@ def _cut(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(rows.groupBy(by).agg(cuts.alias("cuts")), by).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
 
 
-def links(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
-    """(a, b) over keys of sets: linked pairs whose components are those of all pairs of similarity 0.8 or more.
+def linked(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
+    """(node, root) of the keys of sets that are linked: root is the smallest key in the component of all pairs of similarity 0.8 or more.
 
     base: (row, text); sketches: (row, size, set_key, prefix) of its rows, written.
     """
@@ -244,34 +244,49 @@ def links(base: DataFrame, sketches: DataFrame, n: int) -> DataFrame:
     nodes = materialize(reduced.select("node", "size", F.col("s.key").alias("set")))
     release(alive, some, sets)
 
-    # Linked sets share one of these; documents that they connect are searched together if they are few enough.
+    # Linked sets share one of these keys. Two steps of the least neighbour put most documents that keys connect under one name.
     first = F.slice("set", F.lit(1), (F.size("set") - least_shared("size") + 1).cast("int"))
     keys = nodes.select(F.explode(first).alias("key"), "node", F.size("set").alias("m"))
     least = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
     keys = materialize(keys.join(least, "key"))
-    families = connected_components(keys.select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a < b").distinct())
-    members = materialize(families.join(nodes.select("node", F.size("set").alias("m")), "node"))
-    fits = (F.col("rows") <= CELL_ROWS) & (F.col("m") <= CELL_SHINGLES)
-    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("m").alias("m"))
-    whole = members.join(sizes.where(fits).select("root"), "root").select(F.col("root").alias("cell"), F.lit(0).alias("i"), "node")
-    # Of larger ones each document first goes to one search, that of its first key, with the least document of the key.
-    wide = materialize(keys.join(members.join(sizes.where(~fits).select("root"), "root").select("node"), "node"))
+    name = keys.groupBy("node").agg(F.min("lo").alias("name"), F.max("m").alias("m"))
+    again = keys.join(name.select("node", "name"), "node").groupBy("key").agg(F.min("name").alias("of_key"))
+    name = keys.join(again, "key").groupBy("node").agg(F.min("of_key").alias("name"), F.max("m").alias("m"))
+    sizes = name.groupBy("name").agg(F.count("*").alias("rows"), F.sum("m").alias("total"))
+    fits = (F.col("rows") <= CELL_ROWS) & (F.col("total") <= CELL_SHINGLES)
+    name = materialize(name.join(sizes, "name").select("node", "name", fits.alias("fits")))
+
+    # Documents of one name are searched together if they are few enough; of others each goes to the search of its first key, where the
+    # least document of the key is in every block.
+    whole = name.where("fits").select(F.col("name").alias("cell"), F.lit(0).alias("i"), "node")
+    wide = keys.join(name.where("not fits").select("node"), "node")
     one = wide.join(wide.groupBy("node").agg(F.min(F.xxhash64("key")).alias("h")), "node").where(F.xxhash64("key") == F.col("h")).drop("h")
     one = _cut(one, "key")
-    hubs = one.select("key", "own", F.col("lo").alias("node")).distinct()
+    hubs = one.select("key", "own", F.col("lo").alias("node"))
     placed = one.select("key", "own", "node").unionByName(hubs).distinct().select(F.col("key").alias("cell"), (F.col("own") + 1).alias("i"), "node")
     cells = whole.unionByName(placed).join(nodes, "node").withColumn("root", F.col("node"))
     found = materialize(_searched(cells, ["cell", "i"]).distinct())
-
-    # Keys whose documents are still apart: every pair of blocks of a key, in which documents of one component aren't compared again.
-    rooted = wide.join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    still = _cut(materialize(rooted.join(apart, "key")), "key")
-    parts = still.select("key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("k"))
+    roots = materialize(connected_components(found))
+
+    # Keys not searched whole whose documents are still apart: every pair of blocks of a key, without comparing what is linked already.
+    placed = keys.join(name, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = [F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("name").alias("n0"), F.max("name").alias("n1"), F.min("fits").alias("all")]
+    apart = placed.groupBy("key").agg(*ends).where("r0 < r1 and (n0 < n1 or not all)").select("key")
+    still = materialize(placed.join(apart, "key").select("key", "node", "root", "m"))
+    if still.isEmpty():
+        release(keys, name, nodes, found, still)
+        return roots
+    parts = _cut(still, "key").select("key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("k"))
     pairs = parts.select("key", "node", "root", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")).join(nodes, "node")
     more = materialize(_searched(pairs, ["key", "i", "j"]).distinct())
-    release(keys, members, nodes, wide)
-    return found.unionByName(more)
+    # New links join components, so only their roots need new ones.
+    of = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    between = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = connected_components(between.where("a <> b").distinct()).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    every = roots.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    named = materialize(every.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    release(keys, name, nodes, found, still, more, roots)
+    return named
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE_WORDS) -> DataFrame:
@@ -286,7 +301,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     """
     base = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     sketches = materialize(sketched(base, n).drop("text"))
-    roots = connected_components(links(base.select("row", "text"), sketches, n))
+    roots = linked(base.select("row", "text"), sketches, n)
     classes = sketches.where("size > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     rooted = classes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
