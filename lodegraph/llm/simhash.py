@@ -8,20 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, col, connected_components, linked_groups, materialize, release, texts_of
+from . import jaccard
+from .common import append_columns, col, connected_components, materialize, texts_of
 
 SHINGLE_WORDS = 3
 RADIUS = 2
 #: Fingerprints of one tile; a larger population class is cut into several tiles, but at most so many: tiles grow with the table
 #: then, and the copies of a fingerprint don't.
 TILE, MOST_CUTS = 4096, 16
-#: Documents that name the common shingles: one in SAMPLE_STEP, all if there are few. A shingle of COMMON of them is common.
-SAMPLE_STEP, SAMPLE_ROWS, COMMON, MOST_COMMON = 64, 4000, 3, 1 << 18
-#: Differing bits of the fingerprints of two texts whose sets are compared, at most: at a similarity of 0.8 it is 10 of 64 on average,
-#: with a standard deviation of 3.
-SET_RADIUS = 22
-#: Rows of documents in question that may be broadcast to the second scan; beyond it that join shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def _shingle_hashes(text: str | None, n: int):
@@ -155,91 +149,12 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return rows.repartition("v", "cut").sortWithinPartitions("v", "cut", "guest").mapInArrow(run, "a long, b long")
 
 
-def _shingle_set(text: str | None, n: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted, as signed longs."""
-    parts = list(_shingle_hashes(text, n))
-    return np.unique(np.concatenate(parts).view(np.int64)) if parts else np.zeros(0, np.int64)
-
-
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
-
-
-def _with_sets(docs: DataFrame, n: int) -> DataFrame:
-    def make():
-        return lambda batch: [_lists([_shingle_set(x, n) for x in texts_of(batch, "text")])]
-
-    return append_columns(docs, [T.StructField("set", T.ArrayType(T.LongType()))], make)
-
-
-def _common(base: DataFrame, n: int) -> np.ndarray:
-    """Hashes of common shingles, sorted, found in a sample whose share is fixed; at most MOST_COMMON. Any choice gives the same pairs."""
-    step = max(1, min(SAMPLE_STEP, base.count() // SAMPLE_ROWS))
-    sample = base.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
-    counts = _with_sets(sample, n).select(F.explode("set").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
-    top = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy()
-    return np.sort(top)
-
-
-def _with_prefix(base: DataFrame, n: int, least: float) -> DataFrame:
-    """base with simhash, set_key, size and prefix: of the distinct shingles in one order (common ones last, then by hash) as
-    many first ones as two sets with a Jaccard similarity of ``least`` or more must have one of in common."""
-    shared = base.sparkSession.sparkContext.broadcast(_common(base, n))
-
-    def make():
-        from xxhash import xxh64_intdigest
-
-        common = shared.value
-
-        def step(batch):
-            prints, keys, sizes, prefixes = [], [], [], []
-            for text in texts_of(batch, "text"):
-                parts = list(_shingle_hashes(text, n))
-                prints.append(_majority(parts) if parts else 0)
-                own = np.unique(np.concatenate(parts).view(np.int64)) if parts else np.zeros(0, np.int64)
-                keys.append(xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
-                length = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
-                if len(common) and len(own):
-                    known = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-                    own = np.concatenate((own[~known], own[known]))
-                prefixes.append(own[:length])
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
-            return [signed(prints), signed(keys), pa.array(sizes, pa.int32()), _lists(prefixes)]
-
-        return step
-
-    fields = [T.StructField("simhash", T.LongType()), T.StructField("set_key", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return append_columns(base, fields, make)
-
-
-def _similar_links(base: DataFrame, prints: DataFrame, n: int, least: float) -> DataFrame:
-    """(a, b): fingerprints of all pairs of texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
-
-    Every such pair shares a shingle of both prefixes; those pairs are candidates, unless their sizes or fingerprints (by more
-    than SET_RADIUS bits, which a pair of similarity 0.8 misses by four standard deviations) are too far apart, and the whole
-    sets decide. The links'
-    components are those of all such pairs; a dense group isn't spelled out. Equal sets count once. base: row, text; prints: row, simhash, set_key, size, prefix.
-    """
-    classes = prints.where("size > 0").groupBy("set_key").agg(F.min("simhash").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("row").alias("row"))
-    sizes = materialize(classes.select("set_key", "fp", "size"))
-    alike = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-9) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= SET_RADIUS)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select("b")).distinct()
-        places = materialize(asked.join(prints.select("set_key", "row"), "set_key").groupBy("set_key").agg(F.min("row").alias("row")))
-        rows = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-        sets = materialize(_with_sets(base.join(rows, "row").dropDuplicates(["row"]).select("set_key", "text"), n).select("set_key", "set"))
-        both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("set").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        found = materialize(both.where(shared >= least * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
-        release(places, sets)
-        return found
-
-    edges = linked_groups(classes.select(F.explode("prefix").alias("key"), F.col("set_key").alias("node")), sizes.withColumnRenamed("set_key", "node"), alike, verify)
-    named = [sizes.select(F.col("set_key").alias(x), F.col("fp").alias(f"f{x}")) for x in "ab"]
-    return edges.join(named[0], "a").join(named[1], "b").where("fa <> fb").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+def _similar_links(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) over fingerprints: those that rows of one set of shingles have, and those of linked sets (roots: set_key as node, root)."""
+    first = materialize(prints.where("size > 0").groupBy("set_key").agg(F.min("simhash").alias("fp")))
+    same = prints.join(first, "set_key").where("fp <> simhash").select(F.col("fp").alias("a"), F.col("simhash").alias("b")).distinct()
+    one, other = (first.select(F.col("set_key").alias(x), F.col("fp").alias(f)) for x, f in (("node", "a"), ("root", "b")))
+    return same.unionAll(roots.join(one, "node").join(other, "root").where("a <> b").select("a", "b"))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE_WORDS, least: float | None = None) -> DataFrame:
@@ -248,18 +163,21 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     Copies share a fingerprint and count once in the comparison, so a group of copies costs its rows and no pairs.
     Null or blank texts have fingerprint 0 and link like any other. Null ids are returned, but name no component unless all
     ids of it are null. Repeated rows come back repeated. An empty table gives none. Other columns aren't returned.
-    With ``least``, texts whose sets of shingles have a Jaccard similarity of that or more are linked too, all of them.
+    With ``least``, which is 0.8 then, texts whose sets of shingles have a Jaccard similarity of that or more are linked too, all of
+    them, by the search of ``jaccard``; no fingerprint decides on those.
     """
     base = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     if least is None:
         prints = materialize(with_fingerprint(base, n=n).select("doc_id", "simhash"))
     else:
         base = base.withColumn("row", F.xxhash64("doc_id", "text"))
-        prints = materialize(_with_prefix(base, n, least).drop("text"))
+        if least != 0.8:
+            raise ValueError("the search for similar sets is that of 0.8")
+        prints = materialize(with_fingerprint(jaccard.sketched(base, n), n=n).drop("text"))
     classes = materialize(prints.groupBy(F.col("simhash").alias("fp")).agg(F.min("doc_id").alias("first_id")))
     links = fingerprint_links(classes.select("fp"), radius)
     if least is not None:
-        links = links.unionAll(_similar_links(base.select("row", "text"), prints, n, least))
+        links = links.unionAll(_similar_links(prints, jaccard.linked(base.select("row", "text"), prints, n)))
     links = connected_components(links)
     rooted = classes.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

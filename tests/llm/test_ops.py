@@ -136,6 +136,22 @@ def test_a_benchmark_of_several_measured_blocks(spark):
     assert whole.nbytes() < 300 * sum(len(t.split()) for _, t in items if t)
 
 
+def test_equal_benchmark_rows_end_and_count_once(spark):
+    """However small an index may be: a block of one distinct row isn't split."""
+    items = [(1, words(1, 40)), (1, words(1, 40)), (2, words(2, 40)), (2, words(2, 40)), (None, words(1, 40)), (3, words(1, 40))]
+    frame = docs_frame(spark, ["x " + words(1, 40), words(2, 40), words(3, 40)])
+    got = decontaminate.scan(frame, spark.createDataFrame(items, "item_id long, text string"), index_bytes=200).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["hit_items"]) for r in got] == [(40, [1, 3]), (40, [2]), (0, [])]
+
+
+def test_masks_of_many_blocks_are_united(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STAGE_BLOCKS", 1)
+    items = [(i, words(i, 12)) for i in range(5)]
+    frame = docs_frame(spark, [" ".join(t for _, t in items), words(9, 30)])
+    got = decontaminate.scan(frame, spark.createDataFrame(items, "item_id long, text string"), index_bytes=200).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["hit_items"]) for r in got] == [(60, [0, 1, 2, 3, 4]), (0, [])]
+
+
 # 2. Byte-level BPE.
 
 
@@ -413,6 +429,16 @@ def test_near_documents_are_those_of_all_pairs_by_shingle_similarity(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(label))
 
 
+def test_a_word_repeated_often_does_not_hide_a_similar_text(spark):
+    """Fingerprints count repeats and sets don't: a copy with one word two thousand times more is far by the one, near by the other."""
+    base = words(5, 400)
+    texts = [base, base + " again" * 2000, words(6, 400), "same " * 40, "same " * 900]
+    prints = [plain_fingerprint(t, 5) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() > 22
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(docs_frame(spark, texts), n=5, least=0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+
+
 # 5. Revisits.
 
 
@@ -479,6 +505,7 @@ def test_top_k_is_brute_force(spark, row_block, query_block):
     vectors = [rng.integers(-3, 4, 6).astype(float) / 8 for _ in range(90)]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, []), (220, []), (202, [float("nan")] * 6), (203, [None] * 6), (260, [1.0, 2.0]), (240, [0.0] * 6)]
     rows += [(7, vectors[3].tolist()), *[(40, vectors[40].tolist())] * 6, (301, [600000.0, 0.0, 0.0, 0.0, 0.0, 0.5]), (320, [-1.5e12, 0.0, 1.0, 0.0, 0.0, 0.0]), (340, [3e200, 0.0, 0.0, 0.0, 0.0, 1.0]), (204, [float("inf")] * 6)]
+    rows += [(360, [-1e-20, -0.0, 1e300, 0.0, 1e-20, 0.5]), (361, [64.0, 1.0, 0.0, 0.0, 0.0, 0.0]), (380, [64.0, 64.0, 0.0, 0.0, 64.0, 0.0]), (362, [-1e-20, -0.0, 0.0, 0.0, 1e-20, 0.0])]
     frame = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, v long")
     got = topk.top_k(frame, F.col("vec_id") % 20 == 0, k=5, row_block=row_block, query_block=query_block).collect()
     good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
